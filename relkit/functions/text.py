@@ -25,7 +25,7 @@ def tokenize(text: Column | str, stopwords: Iterable[str] | None = None) -> Colu
     """lower → split on non letter/digit runs → drop empty tokens (and stop
     words when given).  Order and duplicates are kept (term frequencies need
     them), so ``array_except`` is never used here."""
-    toks = F.filter(F.split(F.lower(_c(text)), TOKEN_SPLIT), lambda t: t != "")
+    toks = F.array_remove(F.split(F.lower(_c(text)), TOKEN_SPLIT), "")
     if stopwords:
         stop = F.array(*[F.lit(w) for w in sorted(set(stopwords))])
         toks = F.filter(toks, lambda t: ~F.array_contains(stop, t))
@@ -47,7 +47,7 @@ def add_term_frequencies(df: DataFrame, tokens: str, out: str = "tfs") -> DataFr
     would duplicate an expensive expression) instead of re-sorting per element.
     """
     s, st = f"_{out}_sorted", f"_{out}_starts"
-    df = df.withColumn(s, F.array_sort(F.col(tokens)))
+    df = df.withColumn(s, F.sort_array(F.col(tokens)))
     n = F.size(F.col(s))
     df = df.withColumn(st, F.filter(
         F.sequence(F.lit(1), F.greatest(n, F.lit(1))),

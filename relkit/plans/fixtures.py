@@ -56,8 +56,11 @@ def spark_query_terms(topics: DataFrame) -> DataFrame:
 def spark_pair_overlap(spark: SparkSession, sf: str) -> DataFrame:
     """(qid, doc_id, n_chars, shared) for pairs sharing >= MIN_SHARED terms."""
     docs = table(spark, sf, "documents").select("doc_id", "n_chars", "text")
+    # explode_outer + filter: avoids the inferred size() > 0 filter that would
+    # tokenize every document a second time below the projection
     doc_terms = docs.select("doc_id", "n_chars",
-                            F.explode(F.array_distinct(tokenize("text"))).alias("term"))
+                            F.explode_outer(F.array_distinct(tokenize("text"))).alias("term")) \
+        .where(F.col("term").isNotNull())
     qterms = checked_broadcast(spark_query_terms(spark_topics(spark, sf)))
     return (doc_terms.join(qterms, "term")
             .groupBy("qid", "doc_id", "n_chars")

@@ -1 +1,320 @@
-"""Queries (placeholder until implemented)."""
+"""Retrieval queries: index statistics (X1-X5), 21 weighting models (X6, W1),
+evaluation (W2-W5, X7, X8, A12) and system comparison (A13, A14, J11, J12).
+
+Topics = v_topics (benchmark), corpus = v_docs (documents), label sets =
+v_qrels_a ('human') and v_qrels_b ('llm'), both remapped 2 → 1 as the
+reference does before evaluating runs.
+"""
+
+from __future__ import annotations
+
+from functools import lru_cache
+from math import lgamma, log, pi
+
+import numpy as np
+
+from pyspark.sql import functions as F
+
+from relkit.functions.text import TOKEN_SPLIT
+from relkit.operators import agreement as ag
+from relkit.operators import evaluate as ev
+from relkit.operators import rankers as rk
+from relkit.operators import systems as sy
+from relkit.operators.textindex import TextIndex
+from relkit.plans import fixtures as fx
+from relkit.plans.registry import register
+
+K = 1000                       # ranked list depth (the reference's retriever default)
+LABEL_SETS = ["human", "llm"]
+TAU_METRICS = ["map", "ndcg_cut_10"]
+MODELS = rk.MODEL_NAMES
+
+
+# ---------------------------------------------------------------- Spark side
+
+def _index(spark, sf, materialize=True):
+    idx = TextIndex.build(fx.spark_docs(spark, sf), "docno", "text")
+    return idx.materialize() if materialize else idx
+
+
+def _ranked(spark, sf, models=MODELS):
+    idx = _index(spark, sf)
+    return rk.retrieve(idx, fx.spark_topics(spark, sf), models, K)
+
+
+def _qrels_eval(spark, sf):
+    a = fx.spark_qrels_a(spark, sf).select(F.lit("human").alias("label_set"), "qid", "docno",
+                                           ag.remap_to_bin("label").alias("label"))
+    b = fx.spark_qrels_b(spark, sf).select(F.lit("llm").alias("label_set"), "qid", "docno",
+                                           ag.remap_to_bin("label").alias("label"))
+    return a.unionByName(b)
+
+
+def _metrics(spark, sf):
+    ranked = _ranked(spark, sf)
+    return ev.evaluate(ranked, _qrels_eval(spark, sf), fx.spark_topics(spark, sf), MODELS, LABEL_SETS)
+
+
+def _metrics_long(spark, sf, metrics=TAU_METRICS):
+    m = _metrics(spark, sf)
+    return m.unpivot(["label_set", "qid", "model"], list(metrics), "metric", "value")
+
+
+# ---------------------------------------------------------------- SQL side
+
+def _tok(x):
+    return f"list_filter(regexp_split_to_array(lower({x}), '{TOKEN_SPLIT}'), lambda t: t <> '')"
+
+
+_IDX = {
+    "d_tok": f"SELECT CAST(doc_id AS VARCHAR) AS docno, {_tok('text')} AS tok FROM documents",
+    "d_len": "SELECT docno, CAST(len(tok) AS BIGINT) AS dl FROM d_tok",
+    "d_post": """SELECT docno, term, CAST(count(*) AS INTEGER) AS tf
+                 FROM (SELECT docno, unnest(tok) AS term FROM d_tok) GROUP BY docno, term""",
+    "d_tstat": "SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM d_post GROUP BY term",
+    "d_coll": "SELECT count(*) AS n_docs, CAST(sum(dl) AS BIGINT) AS n_tokens FROM d_len",
+}
+_RANK = {
+    "q_terms": f"""SELECT qid, term, CAST(count(*) AS DOUBLE) AS qtf
+                   FROM (SELECT qid, unnest({_tok('query')}) AS term FROM v_topics) GROUP BY qid, term""",
+    "feats": """SELECT q.qid, p.docno, CAST(p.tf AS DOUBLE) AS tf, CAST(l.dl AS DOUBLE) AS dl, q.qtf,
+                       CAST(s.df AS DOUBLE) AS df, CAST(s.cf AS DOUBLE) AS cf,
+                       CAST(c.n_docs AS DOUBLE) AS n_docs, CAST(c.n_tokens AS DOUBLE) AS n_tokens,
+                       CAST(c.n_tokens AS DOUBLE) / c.n_docs AS avgdl
+                FROM d_post p JOIN q_terms q ON p.term = q.term JOIN d_tstat s ON s.term = p.term
+                JOIN d_len l ON l.docno = p.docno CROSS JOIN d_coll c""",
+    "scores": "SELECT qid, docno, " + ", ".join(
+        f"sum(coalesce({rk.MODELS[m]}, 0.0)) AS {rk.score_column(m)}" for m in MODELS)
+        + " FROM feats GROUP BY qid, docno",
+    "stacked": " UNION ALL ".join(
+        f"SELECT qid, docno, '{m}' AS model, round({rk.score_column(m)}, 6) AS score FROM scores"
+        for m in MODELS),
+    "ranked": f"""SELECT * FROM (
+                    SELECT qid, model, docno, score,
+                           row_number() OVER (PARTITION BY qid, model ORDER BY score DESC, docno DESC) AS rank
+                    FROM stacked) WHERE rank <= {K}""",
+}
+_EVAL = {
+    "qrels_eval": """SELECT 'human' AS label_set, qid, docno, CASE WHEN label = 2 THEN 1 ELSE label END AS label
+                     FROM v_qrels_a
+                     UNION ALL
+                     SELECT 'llm', qid, docno, CASE WHEN label = 2 THEN 1 ELSE label END FROM v_qrels_b""",
+    "pos": "SELECT * FROM qrels_eval WHERE label > 0",
+    "j": """SELECT r.qid, r.model, r.docno, r.rank, p.label_set, p.label,
+                   count(*) OVER (PARTITION BY p.label_set, r.qid, r.model ORDER BY r.rank
+                                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum
+            FROM ranked r JOIN pos p ON r.qid = p.qid AND r.docno = p.docno""",
+    "per_run": """SELECT label_set, qid, model, sum(CAST(cum AS DOUBLE) / rank) AS ap_num,
+                         count(*) FILTER (WHERE rank <= 5) AS rel5, count(*) FILTER (WHERE rank <= 10) AS rel10,
+                         sum(CASE WHEN rank <= 5 THEN label / log2(rank + 1.0) ELSE 0.0 END) AS dcg5,
+                         sum(CASE WHEN rank <= 10 THEN label / log2(rank + 1.0) ELSE 0.0 END) AS dcg10
+                  FROM j GROUP BY label_set, qid, model""",
+    "ideal": """SELECT label_set, qid,
+                       sum(CASE WHEN i <= 5 THEN label / log2(i + 1.0) ELSE 0.0 END) AS idcg5,
+                       sum(CASE WHEN i <= 10 THEN label / log2(i + 1.0) ELSE 0.0 END) AS idcg10
+                FROM (SELECT *, row_number() OVER (PARTITION BY label_set, qid ORDER BY label DESC, docno) AS i
+                      FROM pos) WHERE i <= 10 GROUP BY label_set, qid""",
+    "nrel": "SELECT label_set, qid, count(*) AS r FROM pos GROUP BY label_set, qid",
+    "grid": "SELECT t.qid, s.label_set, m.model FROM v_topics t CROSS JOIN (VALUES "
+            + ", ".join(f"('{s}')" for s in LABEL_SETS) + ") s(label_set) CROSS JOIN (VALUES "
+            + ", ".join(f"('{m}')" for m in MODELS) + ") m(model)",
+    "metrics": """SELECT g.label_set, g.qid, g.model,
+                         coalesce(pr.ap_num / n.r, 0.0) AS map,
+                         coalesce(pr.rel5 / 5.0, 0.0) AS P_5, coalesce(pr.rel10 / 10.0, 0.0) AS P_10,
+                         coalesce(CASE WHEN i.idcg5 > 0 THEN pr.dcg5 / i.idcg5 END, 0.0) AS ndcg_cut_5,
+                         coalesce(CASE WHEN i.idcg10 > 0 THEN pr.dcg10 / i.idcg10 END, 0.0) AS ndcg_cut_10
+                  FROM grid g
+                  LEFT JOIN per_run pr ON pr.label_set = g.label_set AND pr.qid = g.qid AND pr.model = g.model
+                  LEFT JOIN nrel n ON n.label_set = g.label_set AND n.qid = g.qid
+                  LEFT JOIN ideal i ON i.label_set = g.label_set AND i.qid = g.qid""",
+}
+_RET_VIEWS = ["v_topics", "v_qrels_a", "v_qrels_b"]
+
+
+def _sql(body, *groups, views=("v_topics",)):
+    ctes = {}
+    for g in groups:
+        ctes.update(g)
+    return fx.sql_with(list(views), body, ctes)
+
+
+# ---------------------------------------------------------------- index
+
+@register("postings", _sql("SELECT term, docno, tf FROM d_post", _IDX, views=()))
+def postings(spark, sf):
+    """(term, docno, tf) for every distinct term of every document."""
+    return _index(spark, sf, materialize=False).postings.select("term", "docno", "tf")
+
+
+@register("term_stats", _sql("SELECT term, df, cf FROM d_tstat", _IDX, views=()))
+def term_stats(spark, sf):
+    return _index(spark, sf, materialize=False).term_stats()
+
+
+@register("doc_stats", _sql("SELECT docno, dl FROM d_len", _IDX, views=()))
+def doc_stats(spark, sf):
+    return _index(spark, sf, materialize=False).doc_lengths
+
+
+@register("coll_stats", _sql(
+    "SELECT n_docs, n_tokens, round(CAST(n_tokens AS DOUBLE) / n_docs, 6) AS avgdl FROM d_coll", _IDX, views=()))
+def coll_stats(spark, sf):
+    return _index(spark, sf, materialize=False).coll_stats()
+
+
+@register("single_field_corpus", fx.sql_with(["v_docs"], "SELECT docno, text FROM v_docs"))
+def single_field_corpus(spark, sf):
+    """The (docno, text) corpus the index is built from."""
+    return fx.spark_docs(spark, sf)
+
+
+@register("query_terms", _sql("SELECT qid, term, qtf FROM q_terms", _RANK))
+def query_terms(spark, sf):
+    return rk.query_terms(fx.spark_topics(spark, sf))
+
+
+# ---------------------------------------------------------------- ranking
+
+def _register_model(m):
+    sql = _sql(f"SELECT qid, docno, score, rank FROM ranked WHERE model = '{m}'", _IDX, _RANK)
+
+    def q(spark, sf):
+        return _ranked(spark, sf, [m]).select("qid", "docno", "score", "rank")
+    q.__doc__ = f"Top-{K} per topic with the {m} weighting model."
+    register("rank_" + m.lower(), sql)(q)
+
+
+for _m in MODELS:
+    _register_model(_m)
+
+
+@register("rank_all_models", _sql("SELECT qid, model, docno, score, rank FROM ranked", _IDX, _RANK))
+def rank_all_models(spark, sf):
+    """All 21 models in one scoring pass: top-1000 per (topic, model)."""
+    return _ranked(spark, sf).select("qid", "model", "docno", "score", "rank")
+
+
+# ---------------------------------------------------------------- evaluation
+
+def _r6(cols):
+    return ", ".join(f"round({c}, 6) AS {c}" for c in cols)
+
+
+@register("average_precision", _sql(f"SELECT label_set, qid, model, {_r6(['map'])} FROM metrics",
+                                    _IDX, _RANK, _EVAL, views=_RET_VIEWS))
+def average_precision(spark, sf):
+    return _metrics(spark, sf).select("label_set", "qid", "model", "map")
+
+
+@register("precision_at_k", _sql(f"SELECT label_set, qid, model, {_r6(['P_5', 'P_10'])} FROM metrics",
+                                 _IDX, _RANK, _EVAL, views=_RET_VIEWS))
+def precision_at_k(spark, sf):
+    return _metrics(spark, sf).select("label_set", "qid", "model", "P_5", "P_10")
+
+
+@register("ndcg_at_k", _sql(f"SELECT label_set, qid, model, {_r6(['ndcg_cut_5', 'ndcg_cut_10'])} FROM metrics",
+                            _IDX, _RANK, _EVAL, views=_RET_VIEWS))
+def ndcg_at_k(spark, sf):
+    return _metrics(spark, sf).select("label_set", "qid", "model", "ndcg_cut_5", "ndcg_cut_10")
+
+
+@register("evaluate_runs", _sql(f"SELECT label_set, qid, model, {_r6(ev.METRICS)} FROM metrics",
+                                _IDX, _RANK, _EVAL, views=_RET_VIEWS))
+def evaluate_runs(spark, sf):
+    """Experiment: 21 rankers × all topics × 5 measures × 2 label sets, one plan."""
+    return _metrics(spark, sf)
+
+
+@register("map_per_model", _sql(
+    "SELECT label_set, model, " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in ev.METRICS)
+    + " FROM metrics GROUP BY label_set, model", _IDX, _RANK, _EVAL, views=_RET_VIEWS))
+def map_per_model(spark, sf):
+    return ev.mean_per_model(_metrics(spark, sf))
+
+
+# ---------------------------------------------------------------- system comparison
+
+_SYS = {
+    "mlong": " UNION ALL ".join(f"SELECT label_set, qid, model, '{c}' AS metric, {c} AS value FROM metrics"
+                                for c in TAU_METRICS),
+    "means": """SELECT metric, model,
+                       round(avg(value) FILTER (WHERE label_set = 'human'), 9) AS x,
+                       round(avg(value) FILTER (WHERE label_set = 'llm'), 9) AS y
+                FROM mlong GROUP BY metric, model""",
+    "tau": """SELECT a.metric, count(*) AS n_pairs,
+                     sum(sign(a.x - b.x) * sign(a.y - b.y))
+                       / sqrt(CAST(count(*) FILTER (WHERE a.x <> b.x) AS DOUBLE)
+                              * count(*) FILTER (WHERE a.y <> b.y)) AS tau
+              FROM means a JOIN means b ON a.metric = b.metric AND a.model < b.model GROUP BY a.metric""",
+    "pairs": """SELECT a.label_set, a.metric, a.model AS model_a, b.model AS model_b, a.value - b.value AS d
+                FROM mlong a JOIN mlong b
+                  ON a.label_set = b.label_set AND a.metric = b.metric AND a.qid = b.qid AND a.model < b.model""",
+    "tstats": """SELECT label_set, metric, model_a, model_b, count(*) AS n, avg(d) AS mean_d, stddev_samp(d) AS sd_d
+                 FROM pairs GROUP BY ALL""",
+}
+
+
+@register("kendall_tau_models", _sql("SELECT metric, n_pairs, round(tau, 6) AS tau FROM tau",
+                                     _IDX, _RANK, _EVAL, _SYS, views=_RET_VIEWS))
+def kendall_tau_models(spark, sf):
+    """Kendall's tau-b between the model orderings (mean MAP / nDCG@10) under
+    human and LLM labels."""
+    m = _metrics_long(spark, sf)
+    means = m.groupBy("metric", "model").agg(
+        F.avg(F.when(F.col("label_set") == "human", F.col("value"))).alias("x"),
+        F.avg(F.when(F.col("label_set") == "llm", F.col("value"))).alias("y"))
+    return sy.kendall_tau(means, "x", "y", by=["metric"])
+
+
+@register("paired_ttest_stats", _sql(
+    """SELECT label_set, metric, model_a, model_b, n, round(mean_d, 6) AS mean_d, round(sd_d, 6) AS sd_d,
+              round(CASE WHEN sd_d > 0 THEN mean_d / (sd_d / sqrt(n))
+                         WHEN mean_d > 0 THEN 'inf'::DOUBLE WHEN mean_d < 0 THEN '-inf'::DOUBLE END, 6) AS t
+       FROM tstats""", _IDX, _RANK, _EVAL, _SYS, views=_RET_VIEWS))
+def paired_ttest_stats(spark, sf):
+    return sy.paired_ttest_stats(_metrics_long(spark, sf), ["label_set", "metric"])
+
+
+# Critical values of Student's t (two-sided 5 %) for the oracle, generated by
+# an independent rule: bisection on the CDF obtained by Simpson integration
+# of the t density (the Spark side uses the incomplete beta function).
+@lru_cache(maxsize=None)
+def _t_crit_table(max_dof: int = 500, alpha: float = 0.05) -> tuple:
+    dof = np.arange(1, max_dof + 1, dtype=float)[:, None]
+    c = np.array([lgamma((d + 1) / 2) - lgamma(d / 2) - 0.5 * log(d * pi) for d in dof[:, 0]])[:, None]
+    w = np.ones(801)
+    w[1:-1:2], w[2:-1:2] = 4.0, 2.0
+    u = np.linspace(0.0, 1.0, 801)[None, :]
+
+    def cdf_half(t):  # ∫_0^t density, t has shape (n, 1)
+        x = t * u
+        f = np.exp(c - (dof + 1) / 2 * np.log1p(x * x / dof))
+        return (f * w).sum(axis=1, keepdims=True) * (t / 800) / 3
+
+    lo, hi = np.zeros_like(dof), np.full_like(dof, 64.0)
+    target = 0.5 - alpha / 2
+    for _ in range(70):
+        mid = (lo + hi) / 2
+        below = cdf_half(mid) < target
+        lo, hi = np.where(below, mid, lo), np.where(below, hi, mid)
+    return tuple((int(d), float(t)) for d, t in zip(dof[:, 0], ((lo + hi) / 2)[:, 0]))
+
+
+def _sensitivity_sql():
+    crit = ", ".join(f"({d}, {t!r})" for d, t in _t_crit_table())
+    body = f"""
+        SELECT label_set, metric, count(*) AS n_pairs,
+               count(*) FILTER (WHERE sig) AS n_significant,
+               round_even(CAST(count(*) FILTER (WHERE sig) AS DOUBLE) / count(*), 2) AS sensitivity
+        FROM (SELECT s.*, CASE WHEN sd_d > 0 THEN abs(mean_d / (sd_d / sqrt(n))) > c.t_crit
+                               ELSE mean_d <> 0 END AS sig
+              FROM tstats s LEFT JOIN (VALUES {crit}) c(dof, t_crit) ON c.dof = s.n - 1)
+        GROUP BY label_set, metric"""
+    return _sql(body, _IDX, _RANK, _EVAL, _SYS, views=_RET_VIEWS)
+
+
+@register("sensitivity", _sensitivity_sql)
+def sensitivity(spark, sf):
+    """Share of model pairs a paired t-test separates at p < 0.05."""
+    return sy.sensitivity(_metrics_long(spark, sf), ["label_set", "metric"])
+

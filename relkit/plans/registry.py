@@ -16,7 +16,7 @@ from pyspark.sql.types import DoubleType, FloatType
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, QueryFn] = {}
-_ORACLE: dict[str, str] = {}
+_ORACLE: dict[str, str | Callable[[], str]] = {}
 
 
 def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -29,7 +29,7 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*cols)
 
 
-def register(name: str, sql: str | None = None):
+def register(name: str, sql: str | Callable[[], str] | None = None):
     def deco(fn: QueryFn) -> QueryFn:
         if name in _QUERIES:
             raise ValueError(f"duplicate query {name}")
@@ -59,4 +59,4 @@ def queries() -> dict[str, QueryFn]:
 
 def oracle_sql() -> dict[str, str]:
     _load_all()
-    return dict(_ORACLE)
+    return {k: (v() if callable(v) else v) for k, v in _ORACLE.items()}
