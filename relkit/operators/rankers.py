@@ -128,8 +128,9 @@ def rank(scored: DataFrame, models: Sequence[str] = MODEL_NAMES, k: int = 1000,
         F.struct(F.lit(m).alias("model"), F.round(F.col(score_column(m)), digits).alias("score"))
         for m in models])))
     w = Window.partitionBy("qid", "model").orderBy(F.col("score").desc(), F.col("docno").desc())
-    return (stacked.withColumn("rank", F.row_number().over(w).cast("long"))
-            .where(F.col("rank") <= k))
+    return (stacked.withColumn("rank", F.row_number().over(w))
+            .where(F.col("rank") <= k)
+            .withColumn("rank", F.col("rank").cast("long")))
 
 
 def retrieve(index: TextIndex, topics: DataFrame, models: Sequence[str] = MODEL_NAMES,

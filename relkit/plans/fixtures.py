@@ -320,7 +320,7 @@ SQL_CTES: dict[str, str] = {
                CAST(o.o_orderkey * 100 AS INTEGER) AS recordOffset,
                c.c_name AS textBeforeTable,
                c.c_mktsegment AS textAfterTable,
-               to_json({'cust': o.o_custkey, 'priority': o.o_orderpriority}) AS entities,
+               CAST(to_json({'cust': o.o_custkey, 'priority': o.o_orderpriority}) AS VARCHAR) AS entities,
                p.page_title AS pageTitle,
                p.url AS url
         FROM orders o
