@@ -7,8 +7,9 @@ import os
 import tempfile
 import uuid
 import zipfile
+from bisect import bisect_left
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from relkit.session import ensure_checkpoint_dir
@@ -92,17 +93,60 @@ def ready(spark: SparkSession) -> None:
     sc._relkit_shipped = True
 
 
+#: Values of a label that a sample tells apart.
+MOST_CLASSES = 1000
+
+
+def smallest(rows: DataFrame, label: str, per_class: int) -> DataFrame:
+    """(label, h, doc_id) of the ``per_class`` smallest hashes of ids in each class.
+    Only narrow rows move; the window group limit leaves ``per_class`` of a class
+    on each task before the shuffle, however many rows the class has."""
+    h = F.xxhash64("doc_id").alias("h")
+    n = F.dense_rank().over(Window.partitionBy(label).orderBy("h"))
+    return rows.select(label, h, "doc_id").withColumn("n", n).where(F.col("n") <= per_class).drop("n")
+
+
 def stratified_sample(rows: DataFrame, label: str, per_class: int, *keep: str) -> DataFrame:
-    """At most ``per_class`` rows of every value of ``label``, by the smallest
-    hash of (doc_id, text).  The rank runs on narrow rows; Spark's window group
-    limit leaves at most ``per_class`` rows of a class on each task before the
-    shuffle, so a class holding nearly all rows is no hot spot."""
-    from pyspark.sql import Window
-
-    h = F.xxhash64(F.col("doc_id"), F.col("text"))
-    w = Window.partitionBy(label).orderBy("h")
-    best = (rows.select(label, h.alias("h"))
-            .withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_class)
-            .groupBy(label).agg(F.max("h").alias("cut")))
-    return (rows.withColumn("h", h).join(F.broadcast(best), label)
-            .where(F.col("h") <= F.col("cut")).select(label, *keep, "h"))
+    """(label, *keep) of at most ``per_class`` ids of every value of ``label`` (of
+    the first MOST_CLASSES values), one row an id."""
+    cuts = (smallest(rows, label, per_class).groupBy(label).agg(F.max("h").alias("cut"))
+            .orderBy(label).limit(MOST_CLASSES).collect())
+    cut = F.lit(None).cast("bigint")
+    for r in cuts:
+        cut = F.when(F.col(label) == r[0], F.lit(r[1])).otherwise(cut)
+    rows = rows.withColumn("h", F.xxhash64("doc_id")).where(F.col("h") <= cut)
+    return rows.groupBy(label, "h").agg(F.min(F.struct(*keep)).alias("s")).select(label, "s.*")
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, mod: int, rest: int,
+             per_class: int) -> tuple[DataFrame, dict[int, int]]:
+    """(doc_id, y, text) for at most ``per_class`` ids of each class, learned only
+    from ids outside the held-out part, and the rows of each class before the
+    cut.  An id with several labels counts as the larger, one with several texts
+    gives the smallest text.  The ids that are broadcast are bounded by
+    2 * ``per_class``."""
+    lab = pick(labels, doc_id="bigint", **{label: "int"})
+    lab = lab.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"), mod, rest))
+    lab = lab.groupBy("doc_id").agg(F.max(label).alias("y"))
+    counts = {r.y: r["count"] for r in lab.groupBy("y").count().collect()}
+    ids = F.broadcast(smallest(lab, "y", per_class).select("doc_id", "y"))
+    rows = pick(docs, doc_id="bigint", text="string").join(ids, "doc_id")
+    return rows.groupBy("doc_id", "y").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")), counts
+
+
+class Covered:
+    """Spans of a text; ``free`` tells whether another overlaps none of them."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def free(self, start: int, end: int) -> bool:
+        i = bisect_left(self.starts, end)  # spans before i begin before the end
+        return i == 0 or self.ends[i - 1] <= start
