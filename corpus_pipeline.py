@@ -4,16 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relkit.llm import exact_stream, mixing, packing
+from relkit.llm import exact_stream, lang_cnn, mixing, omh_dedup, packing
 from relkit.llm.common import written
 from relkit.session import table
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a known language; texts without a letter go."""
+    return lang_cnn.known_language(docs)
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
     return exact_stream.exact_dedup(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates stays."""
+    return omh_dedup.near_dedup(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     return mixing.mixed(docs)
@@ -24,7 +34,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("exact_dedup", exact_dedup), ("mix", mix), ("pack", pack)]
+STAGES = [("language", language), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup),
+          ("mix", mix), ("pack", pack)]
 
 #: Language ID, near-duplicates and tokens have no SQL; the stages are tested
 #: against brute force in tests/llm.

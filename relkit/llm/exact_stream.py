@@ -105,13 +105,16 @@ def classed(docs: DataFrame, digest: Callable[[Column], Column], rows: bool) ->
     contents = table.groupBy("digest", "content").agg(F.count(F.lit(1)).alias("rows"))
     several = contents.groupBy("digest").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1")
     several = several.select("digest").checkpoint()
-    one = state.join(several, "digest", "left_anti").select("digest", *out)
-    many = (table.join(several, "digest", "left_semi").groupBy("digest", "content")
-            .agg(best_of().alias("best"), F.count(F.lit(1)).alias("n")).select("digest", "content", *out))
     last = ["doc_id", "digest", "keep_id", "n", (F.col("rid") == F.col("keep_rid")).alias("kept"),
             "row" if rows else "content"]
+    if several.isEmpty():  # contents need not be told apart, and so not move again
+        return table.join(state.select("digest", *out), "digest").select(*last)
+    one = state.join(several, "digest", "left_anti").select("digest", *out)
+    part = table.join(several, "digest", "left_semi")
+    many = (part.groupBy("digest", "content").agg(best_of().alias("best"), F.count(F.lit(1)).alias("n"))
+            .select("digest", "content", *out))
     return (table.join(one, "digest").select(*last)
-            .unionByName(table.join(many, ["digest", "content"]).select(*last)))
+            .unionByName(part.join(many, ["digest", "content"]).select(*last)))
 
 
 def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relkit.llm.common import held_out, pick, ready, stratified_sample
+from relkit.llm.common import held_out, pick, ready, rows_of, stratified_sample, with_row
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -204,6 +204,18 @@ def identify(docs: DataFrame, text: Column, model: ByteCNN | None = None) -> Col
     return predictor(model or fit(docs), docs.sparkSession)(text)
 
 
+#: A language is told from others with at least this probability.
+ACCEPTED = 0.3
+
+
+def known_language(docs: DataFrame) -> DataFrame:
+    """The rows whose language is told, with the columns of ``docs``: ``und`` and
+    answers below ACCEPTED go."""
+    d = with_row(docs, text="string")
+    d = d.select("row", identify(docs, F.col("text")).alias("p"))
+    return rows_of(d.where((F.col("p.lang") != UNKNOWN) & (F.col("p.score") >= ACCEPTED)), docs.columns)
+
+
 def languages(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row."""
     d = pick(docs, doc_id="bigint", text="string")

@@ -24,7 +24,6 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
-import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -39,8 +38,10 @@ from relkit.llm.common import held_out, labelled, pick, ready
 MOD, REST = 5, 0
 #: Bounds: labelled documents of a class, terms of the lexicon.
 PER_CLASS, MOST_TERMS = 2500, 5000
-#: A term needs so many distinct toxic texts and so many times the clean share.
-SUPPORT, ODDS, ENDINGS = 3, 20.0, 3
+#: A term needs so many distinct toxic texts, so many times the clean share, and
+#: this much evidence (nats: Poisson tail at the clean share, against chance hits
+#: among many words); a stem needs so many endings.
+SUPPORT, ODDS, EVIDENCE, ENDINGS = 3, 20.0, 12.0, 3
 STEMS = (4, 5, 6)
 WINDOW = 8
 REMEMBERED = 1_000_000
@@ -49,7 +50,7 @@ QUOTES = "\"“”«»„"
 #: Words that report what others said (fixed list).
 REPORTING = frozenset("said says called calls quote quoted quotes wrote term word insult dijo palabra sagte wort dit mot".split())
 #: Prior weights of the score: none, exact, misspelled and quoted hits.
-PRIOR, PRIOR_STRENGTH = np.array([-2.5, 4.0, 1.5, 0.5]), 1.0
+PRIOR, PRIOR_STRENGTH = np.array([-4.0, 3.0, 1.5, 0.5]), 3.0
 
 
 def edits(length: int) -> int:
@@ -223,7 +224,9 @@ def lexicon(sample: DataFrame) -> Lexicon:
     texts = sample.groupBy().agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c")).first()
     toxic, clean = texts.t or 0, texts.c or 0
     share = ((F.col("toxic") + 0.5) / (toxic + 1)) / ((F.col("clean") + 0.5) / (clean + 1))
-    good = (evidence(sample).where((F.col("toxic") >= SUPPORT) & (share >= ODDS))
+    n, chance = F.col("toxic"), (F.col("clean") + 1) / (clean + 1) * toxic
+    sure = n * F.log(n / chance) - (n - chance)
+    good = (evidence(sample).where((n >= SUPPORT) & (share >= ODDS) & (n > chance) & (sure >= EVIDENCE))
             .orderBy(F.desc(share), "term").limit(MOST_TERMS).collect())
     words = sorted(r.term for r in good if not r.stem)
     stems = []
