@@ -56,11 +56,18 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/relkit-{label}-{uuid.uuid4().hex}"
 
 
+def lean(spark: SparkSession) -> None:
+    """Shuffle files go when the query that made them ends; what later queries
+    need is in a table or checkpoint by then."""
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage by a table in the shared folder and read it back; a lost
     executor loses nothing, and later readers prune its columns."""
+    lean(df.sparkSession)
     path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -25,7 +25,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relkit.llm.common import pick, scratch, with_row, rows_of
+from relkit.llm.common import lean, pick, scratch, with_row, rows_of
 
 NOT_TEXT = r"[\x20\x09-\x0D]+"
 
@@ -91,8 +91,9 @@ def classed(docs: DataFrame, digest: Callable[[Column], Column], rows: bool) ->
     """Every row with its group: doc_id, digest, keep_id, n, kept, and row or content."""
     spark = docs.sparkSession
     arriving = arrivals(docs, digest, rows)
+    lean(spark)
     store = scratch(spark, "dedup-arrivals")
-    arriving.write.parquet(store)
+    arriving.write.option("compression", "zstd").parquet(store)
     narrow = "rid bigint, doc_id bigint, n_chars bigint, digest string"
     state = stream_state(spark.readStream.schema(narrow).parquet(store), scratch(spark, "dedup-state"))
     table = spark.read.schema(arriving.schema).parquet(store)
