@@ -204,8 +204,11 @@ def personal(docs: DataFrame) -> DataFrame:
         return F.array_join(F.transform(spans, lambda x: F.concat_ws(
             ":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
-    count = [F.size(F.filter("base", lambda x, i=i: x["kind"] == i)).cast("bigint").alias(f"n_{k}")
-             for i, k in enumerate(KINDS)]
+    def of(kind: int):
+        # one argument only: a second one would be the place in the array
+        return F.size(F.filter("base", lambda x: x["kind"] == kind))
+
+    count = [of(i).cast("bigint").alias(f"n_{k}") for i, k in enumerate(KINDS)]
     extra_or_none = F.coalesce("extra", F.array().cast("array<struct<start:int,kind:int,end:int>>"))
     return rows.drop("found").join(extra, "rid", "left").select(
         "doc_id", *count, F.sha2(text_of(F.col("base")).cast("binary"), 256).alias("base_sha256"),
