@@ -36,6 +36,8 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    # many small stores: space set aside for each one's logs would exceed the data
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
