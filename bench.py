@@ -29,7 +29,6 @@ HEADLINE = [
     "rated_tables_inner",     # 8-way judgement join
     "tables_for_qrels_right",
     "render_prompt",          # prompt construction
-    "judge_rule",             # batch judge (mapInPandas)
     "token_lengths",
     "cost_kth",
 ]

@@ -1,18 +1,12 @@
 """Prompt construction for the automatic judge.
 
-Everything is a native column expression except the exact JSON escaping of
-non-ASCII text, which is an Arrow-batched pandas UDF (``table_json_exact``).
+Everything is a native column expression.
 """
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
 
 # Fixed values (the judge's reply formats and placeholders).
 RESPONSES_GRADED = {"Irrelevant (0)": 0, "Relevant (1)": 1, "Highly Relevant (2)": 2}
@@ -39,31 +33,33 @@ def _json_str(x: Column) -> Column:
     esc = F.replace(esc, F.lit("\n"), F.lit("\\n"))
     esc = F.replace(esc, F.lit("\r"), F.lit("\\r"))
     esc = F.replace(esc, F.lit("\t"), F.lit("\\t"))
+    esc = F.replace(esc, F.lit("\b"), F.lit("\\b"))
+    esc = F.replace(esc, F.lit("\f"), F.lit("\\f"))
+    esc = F.when(esc.rlike(r"[^\x20-\x7E]"), F.array_join(F.transform(F.split(esc, ""), _escaped), "")).otherwise(esc)
     return F.when(x.isNull(), F.lit("null")).otherwise(F.concat(F.lit('"'), esc, F.lit('"')))
 
 
+def _escaped(ch: Column) -> Column:
+    """One character; outside printable ASCII as \\uXXXX, above U+FFFF as two."""
+    def unit(code: Column) -> Column:
+        return F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(code)), 4, "0"))
+
+    code = F.ascii(ch)
+    over = code - 0x10000
+    pair = F.concat(unit(F.shiftright(over, 10) + 0xD800), unit(over.bitwiseAND(0x3FF) + 0xDC00))
+    return F.when(code.between(32, 126), ch).when(code > 0xFFFF, pair).otherwise(unit(code))
+
+
 def table_json(rel: Column | str) -> Column:
     """F9 (native): the relation as Python's ``json.dumps`` text (", "
     separators) with every backslash doubled, as the prompt embeds it.
-    Exact for ASCII cells; use ``table_json_exact`` when cells hold
-    non-ASCII characters (``json.dumps`` escapes them as \\uXXXX)."""
+    Control and non-ASCII characters are escaped as \\uXXXX."""
     cols = F.transform(_c(rel), lambda c: F.concat(
         F.lit("["), F.array_join(F.transform(c, _json_str), ", "), F.lit("]")))
     dumped = F.concat(F.lit("["), F.array_join(cols, ", "), F.lit("]"))
     return F.replace(dumped, F.lit("\\"), F.lit("\\\\"))
 
 
-@pandas_udf(StringType())
-def table_json_exact(rel: pd.Series) -> pd.Series:
-    """F9 (exact): json.dumps(...).encode('unicode-escape').decode(), batched."""
-    def one(r):
-        if r is None:
-            return None
-        val = [list(c) if c is not None else None for c in r]
-        return json.dumps(val).encode("unicode-escape").decode()
-    return rel.map(one)
-
-
 def render(template: Column | str, **slots: Column) -> Column:
     """literal placeholder substitution in the given order (never a
     regex replacement, so '$1' or '\\d' in the data stay as they are)."""

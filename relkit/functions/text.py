@@ -32,10 +32,6 @@ def tokenize(text: Column | str, stopwords: Iterable[str] | None = None) -> Colu
     return toks
 
 
-def first_tokens(text: Column | str, k: int) -> Column:
-    return F.slice(tokenize(text), 1, k)
-
-
 def add_term_frequencies(df: DataFrame, tokens: str, out: str = "tfs") -> DataFrame:
     """Add ``out`` = array<struct<term string, tf int>> computed inside the row:
     sort the tokens, find the run starts, run length = tf.

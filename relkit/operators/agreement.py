@@ -102,14 +102,15 @@ def confusion_wide(conf: DataFrame, a: str = "human", b: str = "pred",
                    labels: Sequence[int] = (0, 1, 2), by: Sequence[str] = (),
                    observed_rows_only: bool = True) -> DataFrame:
     """Displayed matrix: one row per predicted label, one column ``<a>_<l>``
-    per human label.  With ``observed_rows_only`` rows are restricted to the
+    per human label and ``<a>_other`` for labels not listed.  With ``observed_rows_only`` rows are restricted to the
     labels the predicting rater actually used (the ``cm[:2]`` cut)."""
     if observed_rows_only:
         row_tot = F.sum("n").over(Window.partitionBy(*by, b))
         conf = conf.withColumn("_rt", row_tot).where(F.col("_rt") > 0).drop("_rt")
     aggs = [F.sum(F.when(F.col(a) == lab, F.col("n")).otherwise(0)).cast("long").alias(f"{a}_{lab}")
             for lab in labels]
-    return conf.groupBy(*by, b).agg(*aggs)
+    other = F.sum(F.when(F.col(a).isin(list(labels)), 0).otherwise(F.col("n"))).cast("long").alias(f"{a}_other")
+    return conf.groupBy(*by, b).agg(*aggs, other)
 
 
 def row_max_flag(conf: DataFrame, row: str = "pred", by: Sequence[str] = ()) -> DataFrame:
@@ -155,8 +156,10 @@ def cohen_kappa(pairs: DataFrame, a: str = "human", b: str = "pred",
 
 def subject_category_counts(long: DataFrame, subject: Sequence[str], label: str = "label",
                             labels: Sequence[int] = (0, 1), by: Sequence[str] = ()) -> DataFrame:
-    """subjects × categories count table (aggregate_raters): n_<label> columns."""
+    """subjects × categories count table (aggregate_raters): n_<label> columns and
+    ``n_other`` for labels not listed."""
     aggs = [F.count_if(F.col(label) == lab).alias(f"n_{lab}") for lab in labels]
+    aggs.append(F.count_if(~F.col(label).isin(list(labels))).alias("n_other"))
     return long.where(F.col(label).isNotNull()).groupBy(*by, *subject).agg(*aggs)
 
 
@@ -202,6 +205,12 @@ def label_frequencies(df: DataFrame, label_cols: Sequence[str], by: Sequence[str
     return cnt.withColumn("share", F.col("n") / tot)
 
 
+def judgement_counts(judgements: DataFrame, topic: str, item: str) -> DataFrame:
+    """(n, n_topics, n_items) of a label set."""
+    return judgements.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(topic).alias("n_topics"),
+                          F.countDistinct(item).alias("n_items"))
+
+
 def error_rates(pairs: DataFrame, a: str = "human", b: str = "pred",
                 by: Sequence[str] = ()) -> DataFrame:
     """Disagreement share per predicted label (``by_pred``: cells of the row

@@ -17,8 +17,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from relkit.plans.broadcast import checked_broadcast
-
 METRICS = ("map", "P_5", "P_10", "ndcg_cut_5", "ndcg_cut_10")
 
 
@@ -34,7 +32,7 @@ def evaluate(ranked: DataFrame, qrels: DataFrame, topics: DataFrame,
     with the positive judgements; the cumulative count runs over those rows
     (at most k per topic and model)."""
     pos = qrels.where(F.col("label") > 0).select("label_set", "qid", "docno", "label")
-    j = ranked.select("qid", "model", "docno", "rank").join(checked_broadcast(pos), ["qid", "docno"])
+    j = ranked.select("qid", "model", "docno", "rank").join(pos, ["qid", "docno"])
     w = (Window.partitionBy("label_set", "qid", "model").orderBy("rank")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     j = j.withColumn("_cum", F.count(F.lit(1)).over(w))

@@ -3,8 +3,7 @@
 All stored relations are keyed by json_loc, so the chained joins below share
 one hash partitioning on json_loc: every input is shuffled once and the whole
 chain runs as co-partitioned sort-merge (or, when AQE sees a small side,
-broadcast) joins without re-shuffling between steps.  The topic table is
-small and broadcast behind a size check.
+broadcast) joins without re-shuffling between steps.
 """
 
 from __future__ import annotations
@@ -12,9 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relkit.plans.broadcast import checked_broadcast
-
-RATED_COLUMNS = ["query", "page_title", "title", "table_type", "has_header", "text_before",
+RATED_COLUMNS = ["query", "page_title", "title", "relation", "table_type", "has_header", "text_before",
                  "text_after", "entities", "relevancy", "json_loc", "topic"]
 
 
@@ -25,9 +22,9 @@ def rated_tables(judgements: DataFrame, topics: DataFrame, t: dict[str, DataFram
     j = judgements
     if topic is not None and topic != -1:
         j = j.where(F.col("topic") == F.lit(topic))
-    q = checked_broadcast(topics.select(F.col("qid").alias("topic"), "query"))
+    q = topics.select(F.col("qid").alias("topic"), "query")
     out = (j.join(q, "topic")
-           .join(t["web_table"].select("json_loc", "title", "table_type"), "json_loc")
+           .join(t["web_table"].select("json_loc", "title", "relation", "table_type"), "json_loc")
            .join(t["page_title"], "json_loc")
            .join(t["table_meta"].select("json_loc", "has_header"), "json_loc")
            .join(t["text_before"], "json_loc")
@@ -37,8 +34,8 @@ def rated_tables(judgements: DataFrame, topics: DataFrame, t: dict[str, DataFram
 
 
 def table_attributes(t: dict[str, DataFrame]) -> DataFrame:
-    """The seven relations inner-joined on json_loc (14 attributes)."""
-    return (t["web_table"].select("json_loc", "title", "table_type")
+    """The seven relations inner-joined on json_loc (15 attributes)."""
+    return (t["web_table"].select("json_loc", "title", "relation", "table_type")
             .join(t["page_title"], "json_loc")
             .join(t["table_meta"].select("json_loc", "has_header", "header_pos", "header_row_index",
                                          "table_orientation", "has_key_column", "key_column_index"),
@@ -54,7 +51,7 @@ def tables_for_qrels(judgements: DataFrame, topics: DataFrame, t: dict[str, Data
     judgement row is kept (``missing`` = its table is absent from one of the
     relations, where the reference raises), with its topic text attached."""
     attrs = table_attributes(t).withColumn("_found", F.lit(True))
-    q = checked_broadcast(topics.select(F.col("qid").alias("topic"), "query"))
+    q = topics.select(F.col("qid").alias("topic"), "query")
     out = attrs.join(judgements, "json_loc", "right").join(q, "topic", "left")
     return out.withColumn("missing", F.col("_found").isNull()).drop("_found")
 
@@ -64,6 +61,15 @@ def missing_tables(judgements: DataFrame, t: dict[str, DataFrame]) -> DataFrame:
     return judgements.join(table_attributes(t).select("json_loc"), "json_loc", "left_anti")
 
 
+def count_check(judgements: DataFrame, found: DataFrame) -> DataFrame:
+    """(n_judged, n_found, complete): whether every judged row has its
+    table; ``complete`` instead of an exception, so a job can branch on it."""
+    one = (judgements.select(F.lit(1).alias("_j"), F.lit(0).alias("_f"))
+           .unionByName(found.select(F.lit(0).alias("_j"), F.lit(1).alias("_f"))))
+    n = one.agg(F.coalesce(F.sum("_j"), F.lit(0)).alias("n_judged"), F.coalesce(F.sum("_f"), F.lit(0)).alias("n_found"))
+    return n.withColumn("complete", F.col("n_judged") == F.col("n_found"))
+
+
 def rated_flag(items: DataFrame, judged_keys: DataFrame, key: str) -> DataFrame:
     """Existence flag via a left join on the distinct judged keys."""
     k = judged_keys.select(key).distinct().withColumn("_hit", F.lit(True))

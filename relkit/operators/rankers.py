@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from relkit.operators.textindex import TextIndex
-from relkit.plans.broadcast import checked_broadcast
+from relkit.plans.broadcast import DEFAULT_MAX_BROADCAST_ROWS, row_count_at_most
 from relkit.functions.text import tokenize
 
 # DFR term-frequency normalisation 2 (c = 1), base-2 and natural-log forms
@@ -91,9 +91,11 @@ def matched_features(index: TextIndex, qterms: DataFrame) -> DataFrame:
     posting of a query term.  Query terms and their statistics are small
     (bounded by the topic set) and broadcast behind a size check; the
     postings are probed in place (no shuffle of the corpus side)."""
-    qt = checked_broadcast(qterms)
-    terms = checked_broadcast(qterms.select("term").distinct())
-    ts = checked_broadcast(index.term_stats(terms))
+    # term statistics have at most one row a query term: one bound proves both
+    small = row_count_at_most(qterms, DEFAULT_MAX_BROADCAST_ROWS)
+    side = F.broadcast if small else (lambda df: df)
+    qt = side(qterms)
+    ts = side(index.term_stats(side(qterms.select("term").distinct())))
     cs = index.coll_scalar()
     m = index.postings.join(qt, "term").join(ts, "term")
     return m.select(

@@ -2,25 +2,17 @@
 
 A side is broadcast only after its row count has been proven to be below a
 bound; beyond the bound the plan falls back to a shuffle join (which AQE can
-still split when a key is skewed).  The check stops counting at ``max_rows+1``
-so it costs at most one small scan.
+still split when a key is skewed).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
 
 
 def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
-    return df.limit(max_rows + 1).count() <= max_rows
+    """Count of a query-side table (topics, terms), added up over its tasks."""
+    return df.count() <= max_rows
 
-
-def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """Return ``broadcast(df)`` when ``df`` has at most ``max_rows`` rows, else
-    ``df`` unchanged (the planner then uses a shuffle join)."""
-    if row_count_at_most(df, max_rows):
-        return F.broadcast(df)
-    return df

@@ -5,10 +5,10 @@ DuckDB CTE (``SQL_CTES``) used by the oracle.  The two are written
 independently from the same rule (see FIXTURES.md §3).
 
 Scale notes
-* query-side tables (topics, query terms, prefixes) come from ``benchmark`` and
-  are broadcast only behind ``checked_broadcast``;
+* query-side tables (topics, query terms) come from ``benchmark``; the planner
+  and AQE choose the join from their sizes;
 * document terms are produced in-row (no shuffle); the pair overlap is a
-  broadcast-probe + partial aggregation per (qid, doc) that collapses map-side
+  probe + partial aggregation per (qid, doc) that collapses map-side
   because all terms of a document live in one partition.
 """
 
@@ -17,17 +17,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relkit.functions.text import TOKEN_SPLIT, first_tokens, tokenize
-from relkit.plans.broadcast import checked_broadcast
+from relkit.functions.text import TOKEN_SPLIT, tokenize
 from relkit.session import table
 
 # Fixed values of the fixture rules.
-QUERY_TOKENS = 8          # topic = first 8 tokens of the benchmark passage
-MIN_SHARED = 3            # pair kept when it shares >= 3 distinct query tokens
-PREFIX_CHARS = 30         # grade 2 when the doc contains the passage's first 30 chars
-GRADE1_SHARED = 5         # grade 1 when >= 5 shared tokens
-LLM_MIN_CHARS = 1000      # LLM-like rule: n_chars >= 1000 and >= 4 shared tokens
-LLM_SHARED = 4
+# The topic is the whole benchmark passage; shares are per cent of its distinct tokens.
+MIN_SHARE = 30            # pair kept
+GRADE1_SHARE = 40         # human grade 1
+GRADE2_SHARE = 60         # human grade 2
+LLM_MIN_CHARS = 1000      # LLM-like rule: n_chars >= 1000 and the share below
+LLM_SHARE = 35
+LLM_HIGH_SHARE = 50       # grade 2 of the graded LLM-like rule
 
 
 # --------------------------------------------------------------------------
@@ -38,7 +38,7 @@ def spark_topics(spark: SparkSession, sf: str) -> DataFrame:
     """v_topics(qid BIGINT, query STRING)."""
     return table(spark, sf, "benchmark").select(
         F.col("item_id").alias("qid"),
-        F.array_join(first_tokens("text", QUERY_TOKENS), " ").alias("query"),
+        F.array_join(tokenize("text"), " ").alias("query"),
     )
 
 
@@ -49,45 +49,36 @@ def spark_docs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def spark_query_terms(topics: DataFrame) -> DataFrame:
-    """(qid, term) distinct query terms."""
-    return topics.select("qid", F.explode(F.array_distinct(tokenize("query"))).alias("term"))
+    """(qid, n_terms, term) distinct query terms."""
+    terms = topics.select("qid", F.array_distinct(tokenize("query")).alias("_terms"))
+    return terms.select("qid", F.size("_terms").alias("n_terms"), F.explode("_terms").alias("term"))
+
+
+def _share(percent: int):
+    return F.col("shared") * 100 >= F.col("n_terms") * percent
 
 
 def spark_pair_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    """(qid, doc_id, n_chars, shared) for pairs sharing >= MIN_SHARED terms."""
+    """(qid, doc_id, n_chars, shared, n_terms) for pairs sharing MIN_SHARE of the topic's terms."""
     docs = table(spark, sf, "documents").select("doc_id", "n_chars", "text")
     # explode_outer + filter: avoids the inferred size() > 0 filter that would
     # tokenize every document a second time below the projection
     doc_terms = docs.select("doc_id", "n_chars",
                             F.explode_outer(F.array_distinct(tokenize("text"))).alias("term")) \
         .where(F.col("term").isNotNull())
-    qterms = checked_broadcast(spark_query_terms(spark_topics(spark, sf)))
+    qterms = spark_query_terms(spark_topics(spark, sf))
     return (doc_terms.join(qterms, "term")
-            .groupBy("qid", "doc_id", "n_chars")
+            .groupBy("qid", "doc_id", "n_chars", "n_terms")
             .agg(F.count(F.lit(1)).alias("shared"))
-            .where(F.col("shared") >= MIN_SHARED))
-
-
-def spark_pairs_graded(spark: SparkSession, sf: str) -> DataFrame:
-    """(qid, doc_id, n_chars, shared, has_prefix)."""
-    pairs = spark_pair_overlap(spark, sf)
-    prefixes = checked_broadcast(table(spark, sf, "benchmark").select(
-        F.col("item_id").alias("qid"),
-        F.substring("text", 1, PREFIX_CHARS).alias("prefix")))
-    texts = table(spark, sf, "documents").select("doc_id", "text")
-    return (pairs.join(prefixes, "qid")
-            .join(texts, "doc_id")
-            .select("qid", "doc_id", "n_chars", "shared",
-                    F.contains(F.col("text"), F.col("prefix")).alias("has_prefix")))
+            .where(_share(MIN_SHARE)))
 
 
 def spark_qrels_a(spark: SparkSession, sf: str) -> DataFrame:
     """v_qrels_a(qid, docno, label): human-like graded labels."""
-    p = spark_pairs_graded(spark, sf)
+    p = spark_pair_overlap(spark, sf)
     return p.select(
         "qid", F.col("doc_id").cast("string").alias("docno"),
-        F.when(F.col("has_prefix"), 2).when(F.col("shared") >= GRADE1_SHARED, 1)
-         .otherwise(0).alias("label"))
+        F.when(_share(GRADE2_SHARE), 2).when(_share(GRADE1_SHARE), 1).otherwise(0).alias("label"))
 
 
 def spark_qrels_b(spark: SparkSession, sf: str) -> DataFrame:
@@ -95,24 +86,27 @@ def spark_qrels_b(spark: SparkSession, sf: str) -> DataFrame:
     p = spark_pair_overlap(spark, sf)
     return p.select(
         "qid", F.col("doc_id").cast("string").alias("docno"),
-        F.when((F.col("n_chars") >= LLM_MIN_CHARS) & (F.col("shared") >= LLM_SHARED), 1)
+        F.when((F.col("n_chars") >= LLM_MIN_CHARS) & _share(LLM_SHARE), 1)
          .otherwise(0).alias("label"))
 
 
-def spark_qrels_variants(spark: SparkSession, sf: str) -> DataFrame:
-    """v_qrels_llm(variant, graded, qid, docno, label): several LLM label sets
-    (one per prompt variant) in one long frame."""
-    p = spark_pair_overlap(spark, sf)
-    docno = F.col("doc_id").cast("string").alias("docno")
-    bin_len = p.select(F.lit("bin_len").alias("variant"), F.lit(False).alias("graded"), "qid", docno,
-                       F.when((F.col("n_chars") >= LLM_MIN_CHARS) & (F.col("shared") >= LLM_SHARED), 1)
-                        .otherwise(0).alias("label"))
-    bin_overlap = p.select(F.lit("bin_overlap").alias("variant"), F.lit(False).alias("graded"), "qid", docno,
-                           F.when(F.col("shared") >= LLM_SHARED, 1).otherwise(0).alias("label"))
-    graded = p.select(F.lit("graded").alias("variant"), F.lit(True).alias("graded"), "qid", docno,
-                      F.when(F.col("shared") >= 6, 2).when(F.col("shared") >= LLM_SHARED, 1)
-                       .otherwise(0).alias("label"))
-    return bin_len.unionByName(bin_overlap).unionByName(graded)
+def _llm_labels():
+    def entry(variant, graded, label):
+        return F.struct(F.lit(variant).alias("variant"), F.lit(graded).alias("graded"), label.alias("label"))
+
+    long = F.col("n_chars") >= LLM_MIN_CHARS
+    return F.array(
+        entry("bin_len", False, F.when(long & _share(LLM_SHARE), 1).otherwise(0)),
+        entry("bin_overlap", False, F.when(_share(LLM_SHARE), 1).otherwise(0)),
+        entry("graded", True, F.when(_share(LLM_HIGH_SHARE), 2).when(_share(LLM_SHARE), 1).otherwise(0)))
+
+
+def spark_qrels_both(spark: SparkSession, sf: str) -> DataFrame:
+    """(qid, docno, human, variant, graded, label): human grade and every LLM
+    label of a pair from one overlap pass."""
+    human = F.when(_share(GRADE2_SHARE), 2).when(_share(GRADE1_SHARE), 1).otherwise(0).alias("human")
+    return spark_pair_overlap(spark, sf).select(
+        "qid", F.col("doc_id").cast("string").alias("docno"), human, F.inline(_llm_labels()))
 
 
 # Rater fields for the multi-field agreement fixture.  Fixed rule table:
@@ -188,7 +182,7 @@ def spark_web_raw(spark: SparkSession, sf: str) -> DataFrame:
     o = (orders.join(rel, orders.o_orderkey == rel.l_orderkey)
          .join(cust, orders.o_custkey == cust.c_custkey, "left"))
     o = o.withColumn("_page", F.col("o_orderkey") % n_pages)
-    o = o.join(checked_broadcast(pages), o["_page"] == pages["page_id"], "left")
+    o = o.join(pages, o["_page"] == pages["page_id"], "left")
     idx = (F.col("o_orderkey") % 4 - 1).cast("int")
     return o.select(
         F.concat(F.lit("t"), F.col("o_orderkey").cast("string")).alias("json_loc"),
@@ -216,7 +210,15 @@ def spark_web_raw(spark: SparkSession, sf: str) -> DataFrame:
 def spark_table_qrels(spark: SparkSession, sf: str) -> DataFrame:
     """Judgements on web tables: (topic, iteration, json_loc, relevancy) for
     every 5th order (including orders without lineitems → missing tables)."""
-    orders = table(spark, sf, "orders").where(F.col("o_orderkey") % 5 == 0)
+    return _table_topics(spark, sf, table(spark, sf, "orders").where(F.col("o_orderkey") % 5 == 0))
+
+
+def spark_table_topics(spark: SparkSession, sf: str) -> DataFrame:
+    """The same for every order: the tables that prompts are rendered for."""
+    return _table_topics(spark, sf, table(spark, sf, "orders"))
+
+
+def _table_topics(spark: SparkSession, sf: str, orders: DataFrame) -> DataFrame:
     n_topics = table(spark, sf, "benchmark").agg(F.count(F.lit(1))).scalar()
     return orders.select(
         (F.col("o_custkey") % n_topics).alias("topic"),
@@ -238,7 +240,7 @@ def _tok(x: str) -> str:
 SQL_CTES: dict[str, str] = {
     "v_topics": f"""
         SELECT item_id AS qid,
-               array_to_string(list_slice({_tok('text')}, 1, {QUERY_TOKENS}), ' ') AS query
+               array_to_string({_tok('text')}, ' ') AS query
         FROM benchmark""",
     "v_docs": "SELECT CAST(doc_id AS VARCHAR) AS docno, text FROM documents",
     "v_query_terms": f"""
@@ -246,34 +248,31 @@ SQL_CTES: dict[str, str] = {
     "v_doc_terms": f"""
         SELECT DISTINCT doc_id, n_chars, unnest({_tok('text')}) AS term FROM documents""",
     "v_pair_overlap": f"""
-        SELECT q.qid, d.doc_id, d.n_chars, count(*) AS shared
-        FROM v_doc_terms d JOIN v_query_terms q ON d.term = q.term
-        GROUP BY q.qid, d.doc_id, d.n_chars
-        HAVING count(*) >= {MIN_SHARED}""",
-    "v_pairs_graded": f"""
-        SELECT p.qid, p.doc_id, p.n_chars, p.shared,
-               contains(d.text, substr(b.text, 1, {PREFIX_CHARS})) AS has_prefix
-        FROM v_pair_overlap p
-        JOIN benchmark b ON b.item_id = p.qid
-        JOIN documents d ON d.doc_id = p.doc_id""",
+        SELECT x.*, n.n_terms, 100 * x.shared AS pct
+        FROM (SELECT q.qid, d.doc_id, d.n_chars, count(*) AS shared
+              FROM v_doc_terms d JOIN v_query_terms q ON d.term = q.term
+              GROUP BY q.qid, d.doc_id, d.n_chars) x
+        JOIN (SELECT qid, count(*) AS n_terms FROM v_query_terms GROUP BY qid) n ON n.qid = x.qid
+        WHERE 100 * x.shared >= {MIN_SHARE} * n.n_terms""",
     "v_qrels_a": f"""
         SELECT qid, CAST(doc_id AS VARCHAR) AS docno,
-               CASE WHEN has_prefix THEN 2 WHEN shared >= {GRADE1_SHARED} THEN 1 ELSE 0 END AS label
-        FROM v_pairs_graded""",
+               CASE WHEN pct >= {GRADE2_SHARE} * n_terms THEN 2
+                    WHEN pct >= {GRADE1_SHARE} * n_terms THEN 1 ELSE 0 END AS label
+        FROM v_pair_overlap""",
     "v_qrels_b": f"""
         SELECT qid, CAST(doc_id AS VARCHAR) AS docno,
-               CASE WHEN n_chars >= {LLM_MIN_CHARS} AND shared >= {LLM_SHARED} THEN 1 ELSE 0 END AS label
+               CASE WHEN n_chars >= {LLM_MIN_CHARS} AND pct >= {LLM_SHARE} * n_terms THEN 1 ELSE 0 END AS label
         FROM v_pair_overlap""",
     "v_qrels_llm": f"""
         SELECT 'bin_len' AS variant, false AS graded, qid, CAST(doc_id AS VARCHAR) AS docno,
-               CASE WHEN n_chars >= {LLM_MIN_CHARS} AND shared >= {LLM_SHARED} THEN 1 ELSE 0 END AS label
+               CASE WHEN n_chars >= {LLM_MIN_CHARS} AND pct >= {LLM_SHARE} * n_terms THEN 1 ELSE 0 END AS label
         FROM v_pair_overlap
         UNION ALL
         SELECT 'bin_overlap', false, qid, CAST(doc_id AS VARCHAR),
-               CASE WHEN shared >= {LLM_SHARED} THEN 1 ELSE 0 END FROM v_pair_overlap
+               CASE WHEN pct >= {LLM_SHARE} * n_terms THEN 1 ELSE 0 END FROM v_pair_overlap
         UNION ALL
         SELECT 'graded', true, qid, CAST(doc_id AS VARCHAR),
-               CASE WHEN shared >= 6 THEN 2 WHEN shared >= {LLM_SHARED} THEN 1 ELSE 0 END
+               CASE WHEN pct >= {LLM_HIGH_SHARE} * n_terms THEN 2 WHEN pct >= {LLM_SHARE} * n_terms THEN 1 ELSE 0 END
         FROM v_pair_overlap""",
     "v_rater_base": """
         SELECT l.doc_id, l.quality, l.toxic, d.n_chars, d.lang, d.text
@@ -333,19 +332,23 @@ SQL_CTES: dict[str, str] = {
                CASE WHEN o_orderpriority = '1-URGENT' THEN 2 WHEN o_orderpriority = '2-HIGH' THEN 1 ELSE 0 END
                  AS relevancy
         FROM orders WHERE o_orderkey % 5 = 0""",
+    "v_table_topics": """
+        SELECT o_custkey % (SELECT count(*) FROM benchmark) AS topic, 't' || CAST(o_orderkey AS VARCHAR) AS json_loc,
+               CASE WHEN o_orderpriority = '1-URGENT' THEN 2 WHEN o_orderpriority = '2-HIGH' THEN 1 ELSE 0 END
+                 AS relevancy
+        FROM orders""",
 }
 
 # dependency order of the CTEs
 _DEPS = {
     "v_topics": [], "v_docs": [], "v_query_terms": ["v_topics"], "v_doc_terms": [],
     "v_pair_overlap": ["v_doc_terms", "v_query_terms"],
-    "v_pairs_graded": ["v_pair_overlap"],
-    "v_qrels_a": ["v_pairs_graded"], "v_qrels_b": ["v_pair_overlap"],
+    "v_qrels_a": ["v_pair_overlap"], "v_qrels_b": ["v_pair_overlap"],
     "v_qrels_llm": ["v_pair_overlap"],
     "v_rater_base": [], "v_rater_long": ["v_rater_base"],
     "v_relation": [], "v_page_titles": [],
     "v_web_raw": ["v_relation", "v_page_titles"],
-    "v_table_qrels": [],
+    "v_table_qrels": [], "v_table_topics": [],
 }
 
 

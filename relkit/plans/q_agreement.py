@@ -11,12 +11,12 @@ from relkit.plans.sqlgen import kappa_ctes
 from relkit.session import table
 
 FIELDS = fx.RATER_FIELDS
-POOLED_FIELDS = FIELDS[:4]   # parity with the reference's four stacked fields
 
 
 def _qrels_pairs(spark, sf):
     """(qid, docno, human graded 0/1/2, pred binary)."""
-    return ag.pair_labels(fx.spark_qrels_a(spark, sf), fx.spark_qrels_b(spark, sf), ["qid", "docno"])
+    both = fx.spark_qrels_both(spark, sf).where(F.col("variant") == "bin_len")
+    return both.select("qid", "docno", "human", F.col("label").alias("pred"))
 
 
 def _qrels_pairs_bin(spark, sf):
@@ -78,15 +78,12 @@ def kappa_by_topic(spark, sf):
               FROM v_qrels_a a JOIN v_qrels_llm v ON a.qid = v.qid AND a.docno = v.docno"""},
     "vp", by=["variant"]))
 def kappa_by_variant(spark, sf):
-    """One scan of every LLM label set: κ per prompt variant; graded variants
-    compare raw human labels, binary ones the binarized human labels."""
-    human = fx.spark_qrels_a(spark, sf)
-    llm = fx.spark_qrels_variants(spark, sf)
-    p = (human.select("qid", "docno", F.col("label").alias("h"))
-         .join(llm, ["qid", "docno"])
-         .select("variant", "qid", "docno",
-                 F.when(F.col("graded"), F.col("h")).otherwise(ag.binarize("h")).alias("human"),
-                 F.col("label").alias("pred")))
+    """κ per prompt variant from one overlap pass; graded variants compare raw
+    human labels, binary ones the binarized human labels."""
+    p = fx.spark_qrels_both(spark, sf).select(
+        "variant", "qid", "docno",
+        F.when(F.col("graded"), F.col("human")).otherwise(ag.binarize("human")).alias("human"),
+        F.col("label").alias("pred"))
     return ag.cohen_kappa(p, by=["variant"])
 
 
@@ -146,14 +143,13 @@ def kappa_between_flag(spark, sf):
 
 @register("kappa_pooled", _kappa_sql(
     ["v_rater_long"],
-    {"plp": f"""SELECT h.label AS a_label, m.label AS b_label
+    {"plp": """SELECT h.label AS a_label, m.label AS b_label
                 FROM v_rater_long h JOIN v_rater_long m
-                  ON h.doc_id = m.doc_id AND h.field = m.field AND h.rater = 'human' AND m.rater = 'llm'
-                WHERE h.field IN ({", ".join(repr(f) for f in POOLED_FIELDS)})"""},
+                  ON h.doc_id = m.doc_id AND h.field = m.field AND h.rater = 'human' AND m.rater = 'llm'"""},
     "plp", a="a_label", b="b_label"))
 def kappa_pooled(spark, sf):
-    """κ over the ratings of four fields stacked into one pair list."""
-    return ag.pooled_kappa(_rater(spark, sf, "human"), _rater(spark, sf, "llm"), ["doc_id"], POOLED_FIELDS)
+    """κ over the ratings of all fields stacked into one pair list."""
+    return ag.pooled_kappa(_rater(spark, sf, "human"), _rater(spark, sf, "llm"), ["doc_id"], FIELDS)
 
 
 # ---------------------------------------------------------------- Fleiss
@@ -177,7 +173,8 @@ def fleiss_kappa(spark, sf):
 
 @register("subject_category_counts", fx.sql_with(["v_rater_long"], """
     SELECT doc_id, CAST(count(*) FILTER (WHERE label = 0) AS BIGINT) AS n_0,
-           CAST(count(*) FILTER (WHERE label = 1) AS BIGINT) AS n_1
+           CAST(count(*) FILTER (WHERE label = 1) AS BIGINT) AS n_1,
+           CAST(count(*) FILTER (WHERE label NOT IN (0, 1)) AS BIGINT) AS n_other
     FROM v_rater_long WHERE rater = 'llm' AND label IS NOT NULL GROUP BY doc_id"""))
 def subject_category_counts(spark, sf):
     return ag.subject_category_counts(_rater(spark, sf, "llm"), ["doc_id"], labels=(0, 1))
@@ -204,12 +201,27 @@ def crosstab_observed(spark, sf):
     SELECT pred,
            CAST(sum(CASE WHEN human = 0 THEN n ELSE 0 END) AS BIGINT) AS human_0,
            CAST(sum(CASE WHEN human = 1 THEN n ELSE 0 END) AS BIGINT) AS human_1,
-           CAST(sum(CASE WHEN human = 2 THEN n ELSE 0 END) AS BIGINT) AS human_2
+           CAST(sum(CASE WHEN human = 2 THEN n ELSE 0 END) AS BIGINT) AS human_2,
+           CAST(sum(CASE WHEN human NOT IN (0, 1, 2) THEN n ELSE 0 END) AS BIGINT) AS human_other
     FROM k_conf GROUP BY pred HAVING sum(n) > 0""", {**QP, **kappa_ctes("qp")}))
 def confusion_wide(spark, sf):
     return ag.confusion_wide(ag.confusion_long(_qrels_pairs(spark, sf)), labels=(0, 1, 2))
 
 
+_FIELD_PAIRS = {"fp": """SELECT h.doc_id, h.field, h.label AS human, m.label AS pred
+                         FROM v_rater_long h JOIN v_rater_long m
+                           ON h.doc_id = m.doc_id AND h.field = m.field
+                          AND h.rater = 'human' AND m.rater = 'llm'"""}
+
+
+@register("confusion_by_field", fx.sql_with(["v_rater_long"], "SELECT field, human, pred, n FROM k_conf",
+                                            {**_FIELD_PAIRS, **kappa_ctes("fp", by=["field"])}))
+def confusion_by_field(spark, sf):
+    """One confusion matrix per judged field, in one pass."""
+    p = ag.pair_labels(_rater(spark, sf, "human"), _rater(spark, sf, "llm"), ["doc_id", "field"])
+    return ag.confusion_long(p, by=["field"])
+
+
 @register("row_max_flag", fx.sql_with(QV, """
     SELECT human, pred, n, n = max(n) OVER (PARTITION BY pred) AS is_row_max FROM k_conf""",
     {**QP, **kappa_ctes("qp")}))
@@ -226,6 +238,13 @@ def label_frequencies(spark, sf):
     return ag.label_frequencies(_qrels_pairs(spark, sf), ["human", "pred"])
 
 
+@register("judgement_counts", fx.sql_with(["v_qrels_a"], """
+    SELECT count(*) AS n, count(DISTINCT qid) AS n_topics, count(DISTINCT docno) AS n_items FROM v_qrels_a"""))
+def judgement_counts(spark, sf):
+    """A10: judgements, distinct topics and distinct items of a label set."""
+    return ag.judgement_counts(fx.spark_qrels_a(spark, sf), "qid", "docno")
+
+
 @register("error_rates", fx.sql_with(QV, """
     SELECT axis, label, CAST(n AS BIGINT) AS n, CAST(n_diff AS BIGINT) AS n_diff,
            round(CAST(n_diff AS DOUBLE) / n, 6) AS rate

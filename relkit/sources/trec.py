@@ -8,6 +8,8 @@ column (``parse_*``), so the same parsing runs on files and on derived text.
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,11 +18,22 @@ from pyspark.sql import functions as F
 from relkit.operators.agreement import parse_label
 
 # whitespace as str.split() sees it
-WS = r"\s+"
+WS = r"(?U)\s+"
+WS_ENDS = r"(?U)^\s+|\s+$"
+
+
+def _stripped(value: str):
+    return F.regexp_replace(F.col(value), WS_ENDS, "")
 
 
 def _fields(value: str = "value"):
-    return F.split(F.trim(F.regexp_replace(F.col(value), WS, " ")), " ")
+    return F.split(_stripped(value), WS)
+
+
+def _path_part(path):
+    """The path of a file URI, without scheme and host, percent signs decoded."""
+    bare = F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?/*", "/")
+    return F.url_decode(F.replace(bare, F.lit("+"), F.lit("%2B")))
 
 
 def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -60,7 +73,7 @@ def parse_topics(lines: DataFrame, value: str = "value", order: str | None = Non
     (incl. blank) is an error in the reference: here those rows are returned
     by ``bad_topic_lines`` and excluded.  A repeated id keeps the LAST query
     (by ``order``, the line position)."""
-    parts = lines.withColumn("_f", F.split(F.trim(F.col(value)), WS, 2))
+    parts = lines.withColumn("_f", F.split(_stripped(value), WS, 2))
     good = parts.where(F.size("_f") == 2)
     good = good.select(F.col("_f")[0].alias("qid"), F.col("_f")[1].alias("query"),
                        *([F.col(order)] if order else []))
@@ -71,7 +84,7 @@ def parse_topics(lines: DataFrame, value: str = "value", order: str | None = Non
 
 
 def bad_topic_lines(lines: DataFrame, value: str = "value") -> DataFrame:
-    parts = lines.withColumn("_f", F.split(F.trim(F.col(value)), WS, 2))
+    parts = lines.withColumn("_f", F.split(_stripped(value), WS, 2))
     return parts.where(F.size("_f") != 2).drop("_f")
 
 
@@ -99,9 +112,14 @@ def read_label_files(spark: SparkSession, variants: dict[str, str]) -> DataFrame
     variant name.  (variant, topic, iteration, json_loc, relevancy)."""
     lines = spark.read.text(list(variants.values())).select(
         "value", F.col("_metadata.file_path").alias("file"))
-    # _metadata.file_path is a URI: match on the path suffix
-    variant = F.coalesce(*[F.when(F.col("file").endswith(p.split("/")[-1]), F.lit(k))
-                           for k, p in variants.items()])
+    # _metadata.file_path is a URI: compare whole paths, of the file or its folder
+    file = _path_part(F.col("file"))
+
+    def under(path: str):
+        local = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?/*", "/", path) if ":/" in path else os.path.abspath(path)
+        return (file == local) | file.startswith(local.rstrip("/") + "/")
+
+    variant = F.coalesce(*[F.when(under(p), F.lit(k)) for k, p in variants.items()])
     return parse_qrels(lines.withColumn("variant", variant)).drop("file")
 
 

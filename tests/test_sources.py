@@ -24,6 +24,23 @@ def test_topics_edge_rows(spark):
     assert [r.value for r in trec.bad_topic_lines(lines).collect()] == ["3"]
 
 
+def test_unicode_and_tab_whitespace(spark):
+    lines = _lines(spark, ["\t2 lead tab", "3\t", "4 q\t", "5\u00a0nbsp query", "   "])
+    got = {r.qid: r.query for r in trec.parse_topics(lines, order="pos").collect()}
+    assert got == {"2": "lead tab", "4": "q", "5": "nbsp query"}
+    assert [r.value for r in trec.bad_topic_lines(lines).collect()] == ["3\t", "   "]
+    q = trec.parse_qrels(_lines(spark, ["1\u00a00\u00a0t1 2", "\t1 0 t2 1\t"])).collect()
+    assert {(r.json_loc, r.relevancy) for r in q} == {("t1", 2), ("t2", 1)}
+
+
+def test_label_files_of_equal_name(spark, tmp_path):
+    for d, label in (("human", 0), ("llm a+b", 1)):
+        (tmp_path / d).mkdir()
+        (tmp_path / d / "qrels.txt").write_text(f"1\t0\tt1\t{label}\n")
+    got = trec.read_label_files(spark, {d: str(tmp_path / d / "qrels.txt") for d in ("human", "llm a+b")})
+    assert {r.variant: r.relevancy for r in got.collect()} == {"human": 0, "llm a+b": 1}
+
+
 def test_run_six_fields(spark):
     lines = _lines(spark, ["1 Q0 d1 1 2.5 run", "1 Q0 d2 2 run"])
     r = trec.parse_run(lines).collect()
