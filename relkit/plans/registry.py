@@ -48,7 +48,7 @@ def register(name: str, sql: str | Callable[[], str] | None = None):
 
 def _load_all():
     # import for side effects (registration)
-    from relkit.plans import (q_agreement, q_corpus, q_judge, q_retrieval,  # noqa: F401
+    from relkit.plans import (q_agreement, q_corpus, q_files, q_judge, q_retrieval,  # noqa: F401
                               q_sources, q_tables)
 
 

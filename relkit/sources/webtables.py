@@ -59,9 +59,7 @@ def parse_web_tables(lines: DataFrame, value: str = "value") -> tuple[DataFrame,
     v = F.col(value)
     ok = F.try_parse_json(v).isNotNull() & F.trim(v).startswith("{")
     parsed = lines.where(ok).select(F.from_json(v, WEB_TABLE_SCHEMA).alias("r"), v.alias("_raw"))
-    present = F.from_json(F.col("_raw"), "map<string,string>")
-    missing = F.filter(F.array(*[F.lit(k) for k in REQUIRED_KEYS]),
-                       lambda k: ~F.map_contains_key(present, k))
+    missing = F.array_except(F.array(*[F.lit(k) for k in REQUIRED_KEYS]), F.json_object_keys("_raw"))
     records = parsed.select("r.*", missing.alias("missing_keys"))
     quarantine = lines.where(~ok | v.isNull()).select(v.alias("line"))
     return records, quarantine
@@ -74,8 +72,8 @@ def read_web_tables(spark: SparkSession, paths: str | Sequence[str],
 
 def judged_only(records: DataFrame, judged_keys: DataFrame, key: str = "json_loc") -> DataFrame:
     """Keep records whose key is judged -- applied BEFORE cleaning, so
-    unjudged tables are never cleaned.  The key set is broadcast behind a size
-    check (``relkit.plans.broadcast``) by the caller or planned by AQE."""
+    unjudged tables are never cleaned.  AQE plans the join from
+    the size of the key set."""
     return records.join(judged_keys.select(key).distinct(), key, "left_semi")
 
 
@@ -116,13 +114,13 @@ def normalise(records: DataFrame) -> dict[str, DataFrame]:
 
 
 def write_normalised(records: DataFrame, out_dir: str, mode: str = "overwrite") -> None:
-    """Write the clean frame once, then the seven projections from it (each
+    """Write the clean frame once, one record a key, then the seven projections from it (each
     projection re-reads only its columns from parquet)."""
     base = f"{out_dir.rstrip('/')}/_clean"
-    records.write.mode(mode).parquet(base)
+    records.dropDuplicates(["json_loc"]).write.mode(mode).parquet(base)
     clean = records.sparkSession.read.parquet(base)
     for name, df in normalise(clean).items():
-        df.dropDuplicates(["json_loc"]).write.mode(mode).parquet(f"{out_dir.rstrip('/')}/{name}")
+        df.write.mode(mode).parquet(f"{out_dir.rstrip('/')}/{name}")
 
 
 def write_corpus_stats(stats: DataFrame, path: str) -> None:
