@@ -6,15 +6,19 @@ and keeps them in text order, so texts share it when they share the k-mers and
 their order, as texts of small edit distance do.  SKETCHES functions give as
 many buckets a text.
 
-Candidates: a bucket is never paired out.  Each member meets two members of its
-bucket, the first and the last of one order of all texts; buckets of more than
-WIDE texts, as a passage that many texts share makes them, are also split by
-the 2 * ELL smallest hashes and treated alike.
+Candidates: in rounds, each member of a bucket meets the first and the last of
+one order of all texts, a new order each round, unless they are of one class
+already; the rounds end when one joins no classes.  In buckets that still hold
+texts of several classes, every pair of two classes is then tested, in blocks of
+at most BLOCK texts, by lengths and by counts of hashed words, two lower bounds
+of the edit distance; pairs that neither excludes are candidates too.  So any two
+texts of one bucket are in one class, aligned, or proved unlike.
 
 Verification: every candidate pair is aligned word by word in the band that the
 similarity allows (bit-parallel, a band a column); similarity is 1 - edit
 distance / words of the longer text, and 0.8 or more is a link.  Classes are the
-connected components of all links, found by large-star / small-star rounds.
+connected components of all links, found by large-star / small-star rounds.  Pairs within
+a class are not all aligned, so links are not counted.
 
 Rules: words are runs of letters, digits and _ in lower case; a text without
 any counts its blank-separated runs.  Texts of equal words are copies of one
@@ -31,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +43,8 @@ from pyspark.sql import functions as F
 from relkit.llm.common import pick, ready, rows_of, with_row, written
 
 K, ELL, SKETCHES, SIMILAR = 5, 2, 24, 0.8
-WIDE = 64
+#: Texts of a bucket that one task compares with one another, and counters of a text.
+BLOCK, COUNTERS = 1024, 128
 REMEMBERED = 1_000_000
 WORD = re.compile(r"\w+")
 _rng = np.random.default_rng(2)
@@ -76,21 +82,27 @@ def kmers(ids: np.ndarray) -> np.ndarray:
     return h
 
 
-def sketch(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket keys of each hash function: from the ELL and from the 2 * ELL
-    smallest k-mers, in text order."""
-    keys = []
-    every = (h[None, :] ^ SHIFTS[:, None]) * FACTORS[:, None]
-    every ^= every >> np.uint64(32)
-    for take in (ELL, 2 * ELL):
-        take = min(take, len(h))
+def sketch(h: np.ndarray) -> np.ndarray:
+    """Bucket key of each hash function, from the ELL smallest k-mers in text order."""
+    key = SHIFTS.copy()
+    take = min(ELL, len(h))
+    for i in range(0, SKETCHES, 8):  # a long text takes 8 rows of memory at a time
+        every = (h[None, :] ^ SHIFTS[i:i + 8, None]) * FACTORS[i:i + 8, None]
+        every ^= every >> np.uint64(32)
         at = np.argpartition(every, take - 1, axis=1)[:, :take]
         at.sort(axis=1)  # text order
-        key = SHIFTS.copy()
         for j in range(take):
-            key = _mixed(key + h[at[:, j]])
-        keys.append(key.view(np.int64))
-    return keys[0], keys[1]
+            key[i:i + 8] = _mixed(key[i:i + 8] + h[at[:, j]])
+    return key.view(np.int64)
+
+
+def bucket_keys(ids: np.ndarray) -> np.ndarray:
+    return sketch(kmers(ids))
+
+
+def counted(ids: np.ndarray) -> bytes:
+    """Words by the low bits of their hash, up to 255 of each."""
+    return np.minimum(np.bincount(ids & np.uint64(COUNTERS - 1), minlength=COUNTERS), 255).astype(np.uint8).tobytes()
 
 
 def edit_distance(x: np.ndarray, y: np.ndarray, most: int) -> int:
@@ -136,7 +148,7 @@ def similar(x: np.ndarray, y: np.ndarray) -> float:
     return 1 - d / longer if d <= most else 0.0
 
 
-READ = "digest string, n_words int, words binary, keys array<bigint>, wide array<bigint>"
+READ = "digest string, n_words int, words binary, counts binary, keys array<bigint>"
 
 
 def reader():
@@ -156,32 +168,74 @@ def reader():
                         if x is None:
                             ids[i] = seen[w[i]] = xxhash.xxh3_64_intdigest(w[i])
                 ids = np.array(ids, np.uint64)
-                near, wide = sketch(kmers(ids))
                 raw = ids.astype("<u8").tobytes()
-                out.append((xxhash.xxh3_128_hexdigest(raw), len(ids), ids.astype("<u4").tobytes(), near, wide))
-            yield pd.DataFrame(out, columns=["digest", "n_words", "words", "keys", "wide"])
+                out.append((xxhash.xxh3_128_hexdigest(raw), len(ids), ids.astype("<u4").tobytes(), counted(ids),
+                            bucket_keys(ids)))
+            yield pd.DataFrame(out, columns=["digest", "n_words", "words", "counts", "keys"])
 
     return read
 
 
-def met(members: DataFrame, key: str) -> DataFrame:
-    """(a, b), a < b: each member of a bucket with the bucket's first and last in
-    the order of ``o``."""
-    at = F.struct("o", "rep")
-    bucket = (members.groupBy(key).agg(F.min(at).alias("first"), F.max(at).alias("last"))
-              .where(F.col("first") != F.col("last")).select(key, "first.rep", F.col("last.rep").alias("other")))
-    bucket = bucket.withColumnRenamed("rep", "one")
-    pair = members.join(bucket, key).select("rep", F.explode(F.array("one", "other")).alias("c"))
-    return (pair.where(F.col("rep") != F.col("c"))
-            .select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct())
+def open_buckets(reps: DataFrame, roots: DataFrame, least: int) -> DataFrame:
+    """(key, n, rep, root) of the buckets of ``least`` texts and several classes."""
+    flat = (reps.select("rep", "keys").join(roots, "rep", "left")
+            .select("rep", F.coalesce("root", "rep").alias("root"), F.explode("keys").alias("key")))
+    several = (flat.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"),
+                                       F.max("root").alias("high"))
+               .where((F.col("low") != F.col("high")) & (F.col("n") >= least)).select("key", "n"))
+    return flat.join(several, "key")
 
 
-def candidates(reps: DataFrame) -> DataFrame:
-    """(a, b) to be verified, from (rep, keys, wide), one row a distinct text."""
-    flat = reps.select("rep", F.xxhash64("rep").alias("o"), F.explode(F.arrays_zip("keys", "wide")).alias("k"))
-    flat = flat.select("rep", "o", F.col("k.keys").alias("key"), F.col("k.wide").alias("wide"))
-    full = flat.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > WIDE).select("key")
-    return met(flat, "key").unionByName(met(flat.join(full, "key", "left_semi"), "wide")).distinct()
+def met(members: DataFrame, turn: int) -> DataFrame:
+    """(a, b), a < b: each member of a bucket with the bucket's first and last in
+    the order of this turn, if of another class."""
+    at = F.struct(F.xxhash64(F.lit(turn), "rep").alias("o"), "rep", "root")
+    hubs = members.groupBy("key").agg(F.min(at).alias("first"), F.max(at).alias("last"))
+    pair = members.join(hubs, "key").select("rep", "root", F.explode(F.array("first", "last")).alias("c"))
+    return (pair.where(F.col("root") != F.col("c.root"))
+            .select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b")).distinct())
+
+
+def unlike(n: np.ndarray, counts: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
+    """Whether text ``i`` is certainly no link of each of ``others``."""
+    longer = np.maximum(n[others], n[i])
+    most = ((1 - SIMILAR) * longer + 1e-9).astype(np.int64)
+    out = longer - np.minimum(n[others], n[i]) > most
+    near = np.flatnonzero(~out)
+    d = counts[others[near]] - counts[i]
+    out[near] = np.maximum(np.maximum(d, 0).sum(axis=1), np.maximum(-d, 0).sum(axis=1)) > most[near]
+    return out
+
+
+def rest(members: DataFrame, table: DataFrame) -> DataFrame:
+    """(a, b), a < b: the pairs of a bucket that are of two classes and not unlike."""
+    share = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("rep"), share).cast("int")
+    m = members.select("key", "rep", "root", own.alias("own"), F.explode(F.sequence(F.lit(0), share - 1)).alias("j"))
+    m = m.select("key", F.least("own", "j").alias("i"), F.greatest("own", "j").alias("j"), "own", "rep", "root")
+    m = m.join(table.select(F.col("rid").alias("rep"), "n_words", "counts"), "rep")
+    cells = (m.groupBy("key", "i", "j").agg(
+        F.collect_list(F.struct("rep", "root", "own", "n_words", "counts")).alias("m"),
+        F.min("root").alias("low"), F.max("root").alias("high")).where(F.col("low") != F.col("high")).select("m"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(0)
+            for at in range(len(lists)):
+                cell = lists[at].values
+                rep, root, own, n = (cell.field(c).to_numpy(zero_copy_only=False).astype(np.int64)
+                                     for c in ("rep", "root", "own", "n_words"))
+                counts = np.frombuffer(b"".join(cell.field("counts").to_pylist()), np.uint8)
+                counts = counts.reshape(len(rep), COUNTERS).astype(np.int16)
+                two = own.min() != own.max()  # texts of one block meet in their own cell
+                for i in range(len(rep)):
+                    later = np.flatnonzero((root[i + 1:] != root[i]) & ((own[i + 1:] != own[i]) | (not two))) + i + 1
+                    later = later[~unlike(n, counts, i, later)]
+                    if len(later):
+                        pair = np.minimum(rep[later], rep[i]), np.maximum(rep[later], rep[i])
+                        yield pa.RecordBatch.from_arrays(list(map(pa.array, pair)), ["a", "b"])
+
+    return cells.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -224,34 +278,46 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
+def linked(reps: DataFrame, table: DataFrame) -> DataFrame:
+    """(rep, root) of all texts that have a link."""
+    texts = table.select(F.col("rid").alias("rep"), "words")
+    roots = reps.select("rep", F.col("rep").alias("root")).limit(0)
+    links, turn = None, 0
+    while True:
+        # a bucket of up to three was met whole in the first round
+        members = open_buckets(reps, roots, 4 if turn else 2)
+        pairs = written(met(members, turn), f"omh-pairs{turn}")
+        new = written(verified(pairs, texts), f"omh-links{turn}")
+        if turn and new.isEmpty():
+            pairs = written(rest(members, table), "omh-rest")
+            new = written(verified(pairs, texts), "omh-links")
+            return roots if new.isEmpty() else components(links.unionByName(new))
+        links, turn = new if links is None else links.unionByName(new), turn + 1
+        roots = components(links)
+
+
 def classed(docs: DataFrame, rows: bool = False) -> DataFrame:
-    """rid, doc_id, class_id, class_size, links, kept (and row) for every row."""
+    """rid, doc_id, class_id, class_size, kept (and row) for every row."""
     ready(docs.sparkSession)
     d = with_row(docs, doc_id="bigint", text="string") if rows else pick(docs, doc_id="bigint", text="string")
     d = d.select(F.monotonically_increasing_id().alias("rid"), *["row"] * rows, "doc_id", reader()("text").alias("r"))
     table = written(d.select("rid", *["row"] * rows, "doc_id", "r.*"), "omh")
     # copies: one text a digest goes on
-    reps = (table.groupBy("digest").agg(F.min("rid").alias("rep"), F.first("keys").alias("keys"),
-                                        F.first("wide").alias("wide")).select("digest", "rep", "keys", "wide"))
-    reps = written(reps, "omh-texts")
-    pairs = written(candidates(reps), "omh-pairs")
-    links = written(verified(pairs, table.select(F.col("rid").alias("rep"), "words")), "omh-links")
-    roots = components(links)
-    degree = (links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep")
-              .agg(F.count(F.lit(1)).alias("links")))
-    known = (reps.select("digest", "rep").join(roots, "rep", "left").join(degree, "rep", "left")
-             .select("digest", F.coalesce("root", "rep").alias("root"), F.coalesce("links", F.lit(0)).alias("links")))
+    reps = written(table.groupBy("digest").agg(F.min("rid").alias("rep"), F.first("keys").alias("keys")), "omh-texts")
+    roots = linked(reps, table)
+    known = reps.select("digest", "rep").join(roots, "rep", "left").select("digest",
+                                                                           F.coalesce("root", "rep").alias("root"))
     member = table.select("rid", "doc_id", "digest").join(known, "digest")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "rid"))
     top = member.groupBy("root").agg(best.alias("best"), F.count(F.lit(1)).alias("class_size"))
     out = member.join(top, "root").select(
-        "rid", "doc_id", F.col("best.doc_id").alias("class_id"), "class_size", "links",
+        "rid", "doc_id", F.col("best.doc_id").alias("class_id"), "class_size",
         (F.col("rid") == F.col("best.rid")).alias("kept"))
     return out.join(table.select("rid", "row"), "rid") if rows else out
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id, class_size, links (of its text to other texts), kept."""
+    """doc_id, class_id, class_size, kept."""
     return classed(docs).drop("rid")
 
 

@@ -11,6 +11,7 @@ from collections import defaultdict
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 
 from relkit.llm import exact_stream, mixing, omh_dedup, packing, pii_bootstrap, secret_scan, syncmers, toxicity
 from relkit.session import table as read
@@ -241,3 +242,48 @@ def test_quoted_terms_weigh_less():
     assert score.counts('he said "scoundrel" twice') == (0, 0, 1)
     abuse, quoted, none = score.scores(["you scoundrel", 'he said "scoundrel"', None])
     assert abuse > quoted > none
+
+
+def coded(text):
+    return np.array([xxhash.xxh3_64_intdigest(w) for w in omh_dedup.words(text)], np.uint64)
+
+
+def plain_classes(texts):
+    """Smallest index of each text's class, from all links that share a bucket."""
+    ids, root = list(map(coded, texts)), list(range(len(texts)))
+    keys = [set(omh_dedup.bucket_keys(x).tolist()) for x in ids]
+    for i, x in enumerate(ids):
+        for j in range(i):
+            if root[i] != root[j] and keys[i] & keys[j] and omh_dedup.similar(x, ids[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    return root
+
+
+def test_variants_that_no_hub_links(spark):
+    """Members of a bucket meet one another, not its first and last alone: many
+    variants of one text that are links of few others."""
+    rng, docs, want = random.Random(12), [], {}
+    for rate in (105, 110):
+        base = [f"w{rate}_{i}" for i in range(200)]
+        texts = [" ".join(w if rng.random() > rate / 1000 else f"x{rng.randrange(10 ** 9)}" for w in base)
+                 for _ in range(100)]
+        at = len(docs) + 1
+        want |= {at + i: at + c for i, c in enumerate(plain_classes(texts))}
+        docs += [(at + i, t, "en", "s") for i, t in enumerate(texts)]
+    assert {r.doc_id: r.class_id for r in omh_dedup.near_classes(table(spark, docs)).collect()} == want
+
+
+def test_blocks_meet_one_another(spark, monkeypatch):
+    """Every pair of a bucket is tested, however many blocks it has."""
+    rng = random.Random(13)
+    rows = [[rng.randrange(20) for _ in range(20)] for _ in range(60)]
+    rows += [[w if j != i else 99 for j, w in enumerate(rows[i])] for i in range(20)]
+    counts = [(i, len(r), omh_dedup.counted(np.array(r, np.uint64))) for i, r in enumerate(rows)]
+    members = spark.createDataFrame([(7, len(rows), i, i) for i in range(len(rows))],
+                                    "key bigint, n bigint, rep bigint, root bigint")
+    near = spark.createDataFrame(counts, "rid bigint, n_words int, counts binary")
+    want = {(i, j) for j, y in enumerate(rows) for i, x in enumerate(rows[:j]) if plain_distance(x, y) <= 4}
+    whole = {tuple(r) for r in omh_dedup.rest(members, near).collect()}
+    monkeypatch.setattr(omh_dedup, "BLOCK", 16)
+    assert {tuple(r) for r in omh_dedup.rest(members, near).collect()} == whole >= want
