@@ -274,6 +274,36 @@ def test_variants_that_no_hub_links(spark):
     assert {r.doc_id: r.class_id for r in omh_dedup.near_classes(table(spark, docs)).collect()} == want
 
 
+def changed(rng, n, at):
+    x = np.array([rng.getrandbits(64) for _ in range(n)], np.uint64)
+    y = x.copy()
+    y[at] = [rng.getrandbits(64) for _ in at]
+    return set(omh_dedup.bucket_keys(x).tolist()) & set(omh_dedup.bucket_keys(y).tolist())
+
+
+@pytest.mark.parametrize("n", [32, 50, 200, 1000])
+def test_recall_at_the_threshold(n):
+    """Pairs of similarity 0.8 share a bucket, 99 in 100."""
+    rng = random.Random(n)
+    missed = sum(not changed(rng, n, rng.sample(range(n), n // 5)) for _ in range(400))
+    assert missed <= 4
+
+
+def test_short_texts_are_never_missed():
+    """Changes, drops and inserts at every place, up to what the threshold allows."""
+    rng = random.Random(3)
+    for n in range(4, omh_dedup.EXACT + 1):
+        for _ in range(150):
+            x = [rng.getrandbits(64) for _ in range(n)]
+            y = list(x)
+            for j in range(rng.randrange(n // 4 + 1)):
+                at = rng.randrange(len(y)) if rng.random() < .5 else min(2 + 5 * j, len(y) - 1)
+                y[at:at + 1] = [[], [rng.getrandbits(64)], [rng.getrandbits(64), y[at]]][rng.randrange(3)]
+            x_, y_ = np.array(x, np.uint64), np.array(y, np.uint64)
+            if x != y and omh_dedup.similar(x_, y_):
+                assert set(omh_dedup.bucket_keys(x_).tolist()) & set(omh_dedup.bucket_keys(y_).tolist())
+
+
 def test_blocks_meet_one_another(spark, monkeypatch):
     """Every pair of a bucket is tested, however many blocks it has."""
     rng = random.Random(13)
