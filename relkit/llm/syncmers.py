@@ -3,13 +3,13 @@
 A k-mer of code points is a closed syncmer when its smallest inner s-mer, by
 hash, lies at its first or last place.  Whether it is one depends on its own
 letters alone, so an edit changes the anchors it touches and no others.  A
-fingerprint keeps the ANCHORS anchors with the smallest hashes, in text order,
-each as ``hash@place``.
+fingerprint keeps every anchor at every place, in text order, each as
+``hash@place``: about 2 in K - S + 1 places, so it grows with the text.
 
-Likeness matches two fingerprints by place: anchors common to both, among the
-smallest of their union, count as far as they stand in the same order in both
-texts (longest increasing chain); the share j of the union becomes 2 j / (1 + j),
-about the share of text in common.
+Likeness matches two fingerprints by place: the longest chain of anchors that
+stand in the same order in both texts, as a share j of the anchors of both (those
+of the chain counted once), becomes 2 j / (1 + j), about the share of text in
+common.
 
 Rules: null text is empty.  The fingerprint of an empty text is empty; two empty
 texts have likeness 1, an empty and another 0.  A text below k code points, or
@@ -22,7 +22,6 @@ empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,12 +32,12 @@ from pyspark.sql import functions as F
 
 from relkit.llm.common import pick, ready, written
 
-K, S = 24, 8
-#: Anchors a fingerprint keeps: its size does not grow with the text.
-ANCHORS = 32
+K, S = 64, 8
+#: Anchors a fingerprint keeps at most: no bound.
+ANCHORS = None
 _A = 0x9E3779B97F4A7C15  # multiplier of the rolling hash
 _M = (1 << 64) - 1
-_POW = {n: np.uint64(pow(_A, n, 1 << 64)) for n in (1, 2, 4, 8)}
+_POW = {n: np.uint64(pow(_A, n, 1 << 64)) for n in (1, 2, 4, 8, 16, 32)}
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -69,16 +68,16 @@ def anchors(text: str) -> list[tuple[int, int]]:
     low = np.minimum(order[:-1], order[1:])
     low = np.minimum(low[:-2], low[2:])
     low = np.minimum(low[:-4], low[4:])
-    low = np.minimum(low[:-8], low[8:])       # over 16 s-mers
-    low = np.minimum(low[:-1], order[K - S:])  # over the 17 of a k-mer
+    low = np.minimum(low[:-8], low[8:])
+    low = np.minimum(low[:-16], low[16:])      # over 32 s-mers
+    low = np.minimum(low[:-25], low[25:])      # over the 57 of a k-mer
     at = np.flatnonzero((order[:len(low)] == low) | (order[K - S:] == low))
     if not len(at):
         at = low.argmin(keepdims=True)
-    h16 = _joined(h8[at], h8[at + 8], 8)
-    hashes = _mixed(_joined(h16, h8[at + 16], 8)) >> np.uint64(24)
-    kept, first = np.unique(hashes, return_index=True)
-    pairs = zip(at[first[:ANCHORS]].tolist(), kept[:ANCHORS].tolist())
-    return sorted(pairs)
+    h16 = _joined(h8[:-8], h8[8:], 8)
+    h32 = _joined(h16[:-16], h16[16:], 16)
+    hashes = _mixed(_joined(h32[at], h32[at + 32], 32)) >> np.uint64(24)
+    return list(zip(at.tolist(), hashes.tolist()))
 
 
 def fingerprint(found: list[tuple[int, int]]) -> str:
@@ -90,19 +89,35 @@ def likeness(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> float:
         return 1.0
     if not a or not b:
         return 0.0
-    place = {h: p for p, h in b}
-    both = sorted({h for _, h in a} | place.keys())[:ANCHORS]
-    if not both:
-        return 0.0
-    last = both[-1]
-    chain: list[int] = []
-    for _, h in a:  # in text order
-        p = place.get(h)
-        if p is not None and h <= last:
-            i = bisect_left(chain, p)
-            chain[i:i + 1] = [p]
-    j = len(chain) / len(both)
-    return 2 * j / (1 + j)
+    j = chain([h for _, h in a], [h for _, h in b])
+    return 2 * j / (len(a) + len(b))  # of 2 j / (1 + j), j as a share of the union
+
+
+def chain(x: list[int], y: list[int]) -> int:
+    """Length of the longest common subsequence, bit-parallel."""
+    start = 0
+    while start < min(len(x), len(y)) and x[start] == y[start]:
+        start += 1
+    end = 0
+    while end < min(len(x), len(y)) - start and x[-1 - end] == y[-1 - end]:
+        end += 1
+    x, y = x[start:len(x) - end], y[start:len(y) - end]
+    places: dict[int, list[int]] = {}
+    for i, h in enumerate(x):
+        places.setdefault(h, []).append(i)
+    bits = {}
+    for h in places.keys() & set(y):
+        row = bytearray(len(x) // 8 + 1)
+        for i in places[h]:
+            row[i >> 3] |= 1 << (i & 7)
+        bits[h] = int.from_bytes(row, "little")
+    full = (1 << len(x)) - 1
+    v = full
+    for h in y:
+        if h in bits:
+            u = v & bits[h]
+            v = (v + u | v - u) & full
+    return start + end + len(x) - v.bit_count()
 
 
 def edited(text: str, after: str) -> str:

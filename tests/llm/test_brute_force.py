@@ -221,6 +221,34 @@ def test_syncmers_by_definition():
     assert syncmers.anchors(text) == want
 
 
+def test_every_anchor_counts():
+    """A passage that two long texts share is seen, and its anchors are those of
+    the passage by itself, whatever stands around it."""
+    rng = random.Random(8)
+    letters = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    for n in (3_000, 20_000, 100_000):
+        passage = letters(400)
+        a, b = (syncmers.anchors(letters(n // 2) + passage + letters(n // 2)) for _ in range(2))
+        alone = syncmers.anchors(passage)
+        assert {(n // 2 + p, h) for p, h in alone} <= set(a) & set(b)
+        assert syncmers.likeness(a, b) >= 2 * len(alone) / (len(a) + len(b)) > 0
+        assert len(a) > 0.03 * n
+    twice = syncmers.anchors(passage + passage)
+    assert len(twice) > len({h for _, h in twice})  # a k-mer that repeats keeps each place
+
+
+def test_chain():
+    rng = random.Random(9)
+    for _ in range(300):
+        x, y = ([rng.randrange(4) for _ in range(rng.randrange(1, 30))] for _ in range(2))
+        row = [0] * (len(y) + 1)
+        for a in x:
+            old = row[:]
+            for j, b in enumerate(y):
+                row[j + 1] = old[j] + 1 if a == b else max(old[j + 1], row[j])
+        assert syncmers.chain(x, y) == row[-1]
+
+
 def test_automaton():
     words = ["scoundrel", "villain", "moron", "rat"]
     lex = toxicity.Lexicon(words, ["grim"])
