@@ -15,7 +15,9 @@ it fits).  Reruns agree, whatever the partitioning.
 
 No rank needs the rows of a source in one task: words are first summed by
 (source, bucket of u); only the one bucket that holds the cut is ordered, and a
-row then compares its own rank with its source's cut.
+row then compares its own rank with its source's cut.  As p is one number a
+source, ranks order a source as u does: inside a source this is ordered uniform
+sampling with equal probabilities.
 
 Rules: null or blank text has size 0 and is never missed; null source is a
 source of its own, last in order; rows that repeat in id, text and source are
