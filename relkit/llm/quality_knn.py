@@ -2,7 +2,7 @@
 
 A text is a bag of hashed features of its form: trigrams of character classes,
 and counts of repeated words, repeated lines and word lengths.  Their tf-idf
-weights are projected on the leading singular vectors of a bounded labelled
+weights (of form alone, no words) are projected on the leading singular vectors of a bounded labelled
 sample.  The sample's vectors are broadcast; every document's vector meets all
 of them in blocks of exact cosine products, and the nearest vote with their
 similarity as weight.
