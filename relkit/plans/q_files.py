@@ -1,4 +1,4 @@
-"""Sinks and file readers (S5, S7-S10, S13, S14): the fixtures are written to a
+"""Sinks and file readers (S5, S7-S10, S14): the fixtures are written to a
 fresh folder of the shared scratch space and read back by the file readers."""
 
 from __future__ import annotations
