@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relkit.llm import (exact_stream, lang_cnn, mixing, omh_dedup, packing, pii_bootstrap, quality_knn,
-                        secret_scan, syncmers, toxicity)
+from relkit.llm import (best_fit, exact_stream, fill_middle, lang_cnn, mixing, omh_dedup, packing, pii_bootstrap,
+                        quality_knn, secret_scan, syncmers, toxicity, vector_codes)
 from relkit.session import table
 
 
@@ -52,6 +52,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_knn.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack(table(spark, sf_dir, "documents"), ids=False)
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -60,4 +72,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op6_mixing": f"SELECT * REPLACE (round(target, 6) AS target) FROM ({mixing.ORACLE})",
         "op9_exact_dedup": exact_stream.ORACLE,
+        "op12_fill_middle": fill_middle.ORACLE,
+        "op13_vector_codes": vector_codes.oracle(),
     }
