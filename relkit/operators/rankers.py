@@ -1,17 +1,19 @@
 """Weighting models (X6) and ranking.
 
 Every model is a per-term score written as one SQL expression over the
-columns tf, dl, qtf, df, cf, n_docs, n_tokens, avgdl (all DOUBLE; lg = log2).
-All models are evaluated in ONE projection over the matched postings and
-summed in ONE aggregation per (qid, docno) -- the postings are read once for
-all models.  The same expression text is what the DuckDB oracle evaluates.
+columns tf, dl, qtf, df, cf, n_docs, n_tokens, avgdl (all DOUBLE).  All models
+are evaluated in ONE projection over the matched postings and summed in ONE
+aggregation per (qid, docno) -- the postings are read once for all models.
 
 Formulas: the published forms (Robertson BM25; Zhai & Lafferty Dirichlet;
 Hiemstra LM; Amati & van Rijsbergen DFR; Amati DLH/DPH; Clinchant & Gaussier
 LGD; Kocabas et al. DFI) with the customary parameters (k1=1.2, b=0.75, k3=8,
-mu=2500, lambda=0.15, c=1).  Logarithms of non-positive values, which occur
-only in the DPH/DLH family when a document is a single repeated term
-(tf = dl), contribute 0.
+mu=2500, lambda=0.15, c=1).  The DPH/DLH family gives 0 where a document is a
+single repeated term (tf = dl), for which its logarithm is undefined.
+
+Tie rule: the score of a term is taken in whole units of 1e-10 and these are
+summed, so the sum does not depend on the order of terms, and documents with
+the same counts tie exactly; ties go by docno, descending.
 """
 
 from __future__ import annotations
@@ -21,9 +23,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from relkit.operators.textindex import TextIndex
-from relkit.plans.broadcast import DEFAULT_MAX_BROADCAST_ROWS, row_count_at_most
 from relkit.functions.text import tokenize
+from relkit.operators.textindex import StoredIndex, bucket_of
+
+#: Units of a term's score in one point.
+UNITS = 1e10
 
 # DFR term-frequency normalisation 2 (c = 1), base-2 and natural-log forms
 _TFN = "(tf * log2(1.0 + avgdl / dl))"
@@ -86,55 +90,44 @@ def query_terms(topics: DataFrame, qid: str = "qid", query: str = "query") -> Da
     return t.groupBy("qid", "term").agg(F.count(F.lit(1)).cast("double").alias("qtf"))
 
 
-def matched_features(index: TextIndex, qterms: DataFrame) -> DataFrame:
+def matched_features(index: StoredIndex, qterms: DataFrame) -> DataFrame:
     """(qid, docno, tf, dl, qtf, df, cf, n_docs, n_tokens, avgdl) for every
-    posting of a query term.  Query terms and their statistics are small
-    (bounded by the topic set) and broadcast behind a size check; the
-    postings are probed in place (no shuffle of the corpus side)."""
-    # term statistics have at most one row a query term: one bound proves both
-    small = row_count_at_most(qterms, DEFAULT_MAX_BROADCAST_ROWS)
-    side = F.broadcast if small else (lambda df: df)
-    qt = side(qterms)
-    ts = side(index.term_stats(side(qterms.select("term").distinct())))
+    posting of a query term.  Both joins are on (bucket, term): where the side of
+    the query terms is broadcast, only its buckets are scanned; the choice is the
+    planner's.  The postings of a document lie apart, so the narrow features are
+    dealt by (qid, docno) before any model is computed."""
+    q = qterms.where(F.length("term") > 0).withColumn("bucket", bucket_of("term", index.buckets))
+    q = q.join(index.terms, ["bucket", "term"])
     cs = index.coll_scalar()
-    m = index.postings.join(qt, "term").join(ts, "term")
-    return m.select(
-        "qid", "docno",
-        F.col("tf").cast("double").alias("tf"), F.col("dl").cast("double").alias("dl"),
-        "qtf", F.col("df").cast("double").alias("df"), F.col("cf").cast("double").alias("cf"),
-        cs["n_docs"].alias("n_docs"), cs["n_tokens"].alias("n_tokens"),
-        (cs["n_tokens"] / cs["n_docs"]).alias("avgdl"))
+    m = index.postings.join(q, ["bucket", "term"]).select("qid", "docno", "tf", "dl", "qtf", "df", "cf")
+    return m.repartition("qid", "docno").select(
+        "qid", "docno", *[F.col(c).cast("double").alias(c) for c in ("tf", "dl", "qtf", "df", "cf")],
+        cs["n_docs"].alias("n_docs"), cs["n_tokens"].alias("n_tokens"), (cs["n_tokens"] / cs["n_docs"]).alias("avgdl"))
 
 
-def score(index: TextIndex, qterms: DataFrame, models: Sequence[str] = MODEL_NAMES) -> DataFrame:
+def score(index: StoredIndex, qterms: DataFrame, models: Sequence[str] = MODEL_NAMES) -> DataFrame:
     """(qid, docno, s_<model>...) summed over matching terms, all models in
-    one aggregation.  All postings of a document sit in one partition, so the
-    partial aggregation collapses them before the shuffle on (qid, docno)."""
+    one aggregation."""
     feats = matched_features(index, qterms)
     per_term = feats.select("qid", "docno", *[
-        F.coalesce(F.expr(MODELS[m]), F.lit(0.0)).alias(score_column(m)) for m in models])
+        F.round(F.expr(MODELS[m]) * UNITS).cast("bigint").alias(score_column(m)) for m in models])
     return per_term.groupBy("qid", "docno").agg(
-        *[F.sum(score_column(m)).alias(score_column(m)) for m in models])
-
+        *[(F.sum(score_column(m)) / UNITS).alias(score_column(m)) for m in models])
 
-def rank(scored: DataFrame, models: Sequence[str] = MODEL_NAMES, k: int = 1000,
-         digits: int = 6) -> DataFrame:
-    """Top-k per (qid, model) as (qid, model, docno, score, rank).
 
-    Scores are rounded to ``digits`` before ranking so that ties do not depend
-    on summation order; ties are broken by docno descending.  ``row_number <= k``
-    is planned as WindowGroupLimit: each map task keeps only its local top-k
-    per group before the shuffle, so a topic matching a third of the corpus
-    still moves at most k rows per task."""
+def rank(scored: DataFrame, models: Sequence[str] = MODEL_NAMES, k: int = 1000) -> DataFrame:
+    """Top-k per (qid, model) as (qid, model, docno, score, rank), ties by docno
+    descending.  ``row_number <= k`` is planned as WindowGroupLimit: each map task
+    keeps only its local top-k per group before the shuffle, so a topic matching a
+    third of the corpus still moves at most k rows per task."""
     stacked = scored.select("qid", "docno", F.inline(F.array(*[
-        F.struct(F.lit(m).alias("model"), F.round(F.col(score_column(m)), digits).alias("score"))
-        for m in models])))
+        F.struct(F.lit(m).alias("model"), F.col(score_column(m)).alias("score")) for m in models])))
     w = Window.partitionBy("qid", "model").orderBy(F.col("score").desc(), F.col("docno").desc())
     return (stacked.withColumn("rank", F.row_number().over(w))
             .where(F.col("rank") <= k)
             .withColumn("rank", F.col("rank").cast("long")))
 
 
-def retrieve(index: TextIndex, topics: DataFrame, models: Sequence[str] = MODEL_NAMES,
+def retrieve(index: StoredIndex, topics: DataFrame, models: Sequence[str] = MODEL_NAMES,
              k: int = 1000) -> DataFrame:
     return rank(score(index, query_terms(topics), models), models, k)

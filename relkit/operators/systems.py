@@ -1,23 +1,24 @@
 """System comparison (A12-A14, J11, J12): Kendall's tau-b between the model
-orderings of two label sets, paired t-tests between every pair of models and
-the sensitivity (share of pairs with p < alpha).
+orderings of two label sets, paired t-tests between every pair of models, their
+p-values and the sensitivity (share of pairs with p < alpha).
 
-Pairs are formed by an equi-join on the grouping key (metric, topic, ...)
-plus ``model_a < model_b``; every group holds one row per model, so the pair
-count per group is bounded by the fixed model list (C(24,2) = 276), never by
-the data.
+The models of a group (a metric, a topic ...) are gathered in one array, bounded
+by the fixed model list, and paired inside the row; no table is joined with itself.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
+
+
+def row_pairs(items: Column | str, make) -> Column:
+    """``make(a, b)`` for every two items of an array, a before b, as one array."""
+    items = F.col(items) if isinstance(items, str) else items
+    return F.flatten(F.transform(items, lambda a, i: F.transform(
+        F.slice(items, i + 2, F.greatest(F.size(items) - i - 1, F.lit(0))), lambda b: make(a, b))))
 
 
 def kendall_tau(values: DataFrame, x: str, y: str, by: Sequence[str] = (),
@@ -25,31 +26,31 @@ def kendall_tau(values: DataFrame, x: str, y: str, by: Sequence[str] = (),
     """tau-b = (C − D) / sqrt(pairs untied in x · pairs untied in y) per group.
     Values are rounded to ``digits`` first so that ties do not depend on
     floating-point summation order."""
-    v = values.select(*by, item, F.round(F.col(x), digits).alias("_x"), F.round(F.col(y), digits).alias("_y"))
-    a = v.select(*by, F.col(item).alias("_ia"), F.col("_x").alias("xa"), F.col("_y").alias("ya"))
-    b = v.select(*by, F.col(item).alias("_ib"), F.col("_x").alias("xb"), F.col("_y").alias("yb"))
-    cond = [a[c] == b[c] for c in by] + [F.col("_ia") < F.col("_ib")]
-    p = a.join(b, cond) if by else a.join(b, F.col("_ia") < F.col("_ib"))
-    p = p.select(*[a[c].alias(c) for c in by], "xa", "xb", "ya", "yb")
-    s = F.signum(F.col("xa") - F.col("xb")) * F.signum(F.col("ya") - F.col("yb"))
-    g = p.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_pairs"),
-        F.sum(s).alias("_s"),
-        F.count_if(F.col("xa") != F.col("xb")).alias("_nx"),
-        F.count_if(F.col("ya") != F.col("yb")).alias("_ny"))
-    tau = F.try_divide(F.col("_s"), F.sqrt(F.col("_nx").cast("double") * F.col("_ny")))
-    return g.select(*by, "n_pairs", tau.alias("tau"))
+    v = F.struct(F.col(item).alias("item"), F.round(F.col(x), digits).alias("x"), F.round(F.col(y), digits).alias("y"))
+    rows = values.groupBy(*by).agg(F.array_sort(F.collect_list(v)).alias("v"))
+
+    def compare(a: Column, b: Column) -> Column:
+        dx, dy = F.signum(a["x"] - b["x"]), F.signum(a["y"] - b["y"])
+        return F.struct((dx * dy).alias("s"), F.abs(dx).alias("x"), F.abs(dy).alias("y"))
+
+    rows = rows.select(*by, row_pairs("v", compare).alias("p"))
+
+    def total(field: str) -> Column:
+        return F.aggregate("p", F.lit(0.0), lambda n, p: n + F.coalesce(p[field], F.lit(0.0)))
+
+    tau = F.try_divide(total("s"), F.sqrt(total("x") * total("y")))
+    return rows.select(*by, F.size("p").cast("long").alias("n_pairs"), tau.alias("tau"))
 
 
 def paired_differences(long: DataFrame, by: Sequence[str], unit: str = "qid",
                        item: str = "model", value: str = "value") -> DataFrame:
-    """(by..., model_a, model_b, unit, d) for every pair of items measured on
+    """(by..., unit, model_a, model_b, d) for every pair of items measured on
     the same unit."""
-    a = long.select(*by, unit, F.col(item).alias("model_a"), F.col(value).alias("va"))
-    b = long.select(*by, unit, F.col(item).alias("model_b"), F.col(value).alias("vb"))
-    keys = [*by, unit]
-    p = a.join(b, keys).where(F.col("model_a") < F.col("model_b"))
-    return p.select(*keys, "model_a", "model_b", (F.col("va") - F.col("vb")).alias("d"))
+    v = F.struct(F.col(item).alias("item"), F.col(value).alias("value"))
+    rows = long.groupBy(*by, unit).agg(F.array_sort(F.collect_list(v)).alias("v"))
+    pair = row_pairs("v", lambda a, b: F.struct(a["item"].alias("model_a"), b["item"].alias("model_b"),
+                                                (a["value"] - b["value"]).alias("d")))
+    return rows.select(*by, unit, F.inline(pair))
 
 
 def paired_ttest_stats(long: DataFrame, by: Sequence[str], unit: str = "qid",
@@ -66,82 +67,45 @@ def paired_ttest_stats(long: DataFrame, by: Sequence[str], unit: str = "qid",
     return g.withColumn("t", t)
 
 
-# ---------------------------------------------------------------- p-values
-
-def _betacf(a, b, x, iters=300, eps=1e-15):
-    """Continued fraction of the regularised incomplete beta (modified
-    Lentz), vectorised over numpy arrays."""
-    tiny = 1e-300
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c = np.ones_like(x)
-    d = 1.0 - qab * x / qap
-    d = np.where(np.abs(d) < tiny, tiny, d)
-    d = 1.0 / d
-    h = d.copy()
-    for m in range(1, iters + 1):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = np.where(np.abs(d) < tiny, tiny, d)
-        c = 1.0 + aa / c
-        c = np.where(np.abs(c) < tiny, tiny, c)
-        d = 1.0 / d
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = np.where(np.abs(d) < tiny, tiny, d)
-        c = 1.0 + aa / c
-        c = np.where(np.abs(c) < tiny, tiny, c)
-        d = 1.0 / d
-        delta = d * c
-        h *= delta
-        if np.all(np.abs(delta - 1.0) < eps):
-            break
-    return h
-
-
-def regularized_beta(a, b, x):
-    from math import lgamma
-    a = np.asarray(a, dtype=float)
-    b = np.asarray(b, dtype=float)
-    x = np.asarray(x, dtype=float)
-    lg = np.vectorize(lgamma)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        lbt = lg(a + b) - lg(a) - lg(b) + a * np.log(np.where(x > 0, x, 1.0)) \
-            + b * np.log(np.where(x < 1, 1.0 - x, 1.0))
-        bt = np.exp(lbt)
-        direct = x < (a + 1.0) / (a + b + 2.0)
-        res_direct = bt * _betacf(a, b, x) / a
-        res_flip = 1.0 - bt * _betacf(b, a, 1.0 - x) / b
-        res = np.where(direct, res_direct, res_flip)
-    res = np.where(x <= 0, 0.0, np.where(x >= 1, 1.0, res))
-    return res
-
-
-def t_two_sided_p(t, dof):
-    """Two-sided p-value of Student's t: I_{ν/(ν+t²)}(ν/2, 1/2)."""
-    t = np.asarray(t, dtype=float)
-    dof = np.asarray(dof, dtype=float)
-    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
-        x = np.where(np.isinf(t), 0.0, dof / (dof + t * t))
-    p = regularized_beta(dof / 2.0, np.full_like(dof, 0.5), x)
-    return np.where(np.isnan(t) | (dof < 1), np.nan, p)
-
-
-@pandas_udf(DoubleType())
-def t_pvalue_udf(t: pd.Series, dof: pd.Series) -> pd.Series:
-    """Arrow-batched p-value over the (small) pair table."""
-    tv = t.astype("float64").to_numpy()
-    dv = dof.astype("float64").to_numpy()
-    return pd.Series(t_two_sided_p(tv, dv))
+def t_two_sided_p(t: Column | str, dof: Column | str) -> Column:
+    """Two-sided p-value of Student's t for whole degrees of freedom.
+
+    With tan(angle) = |t| / sqrt(dof) the share within ±t is a finite series in
+    cos²(angle), of dof / 2 terms: for even dof sin * (1 + 1/2 c² + 1·3/(2·4) c⁴
+    + ...), for odd dof 2/π * (angle + sin * (c + 2/3 c³ + 2·4/(3·5) c⁵ + ...)).
+    An infinite t has p = 0; p is null where t is, or below one degree."""
+    t, dof = (F.col(c) if isinstance(c, str) else c for c in (t, dof))
+    n = dof.cast("int")
+    angle = F.atan2(F.abs(t), F.sqrt(n.cast("double")))
+    cos, sin, even = F.cos(angle), F.sin(angle), n % 2 == 0
+    steps = F.when(even, n.cast("double") / 2 - 1).otherwise((n - 3) / 2).cast("int")
+
+    def add(state: Column, k: Column) -> Column:
+        ratio = F.when(even, (2 * k - 1) / (2.0 * k)).otherwise(2 * k / (2.0 * k + 1))
+        term = state["term"] * ratio * cos * cos
+        return F.struct(term.alias("term"), (state["total"] + term).alias("total"))
+
+    first = F.when(even, F.lit(1.0)).otherwise(cos)
+    series = F.aggregate(F.when(steps > 0, F.sequence(F.lit(1), steps)).otherwise(F.array().cast("array<int>")),
+                         F.struct(first.alias("term"), first.alias("total")), add)["total"]
+    within = (F.when(n == 1, 2 / F.pi() * angle).when(even, sin * series)
+              .otherwise(2 / F.pi() * (angle + sin * series)))
+    p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - within))
+    return F.when(t.isNotNull() & ~F.isnan(t) & (n >= 1), F.when(F.abs(t) == float("inf"), 0.0).otherwise(p))
+
+
+def ttest_pvalues(long: DataFrame, by: Sequence[str], unit: str = "qid", item: str = "model",
+                  value: str = "value") -> DataFrame:
+    """``paired_ttest_stats`` with the two-sided p-value of each pair."""
+    stats = paired_ttest_stats(long, by, unit, item, value)
+    return stats.withColumn("p", t_two_sided_p("t", F.col("n") - 1))
 
 
 def sensitivity(long: DataFrame, by: Sequence[str], unit: str = "qid", item: str = "model",
                 value: str = "value", alpha: float = 0.05) -> DataFrame:
     """Share of item pairs whose paired two-sided t-test has p < alpha,
     rounded half-even to 2 digits: (by..., n_pairs, n_significant, sensitivity)."""
-    st = paired_ttest_stats(long, by, unit, item, value)
-    st = st.withColumn("p", t_pvalue_udf(F.col("t"), (F.col("n") - 1).cast("double")))
     sig = F.coalesce(F.col("p") < alpha, F.lit(False))
-    g = st.groupBy(*by).agg(F.count(F.lit(1)).alias("n_pairs"), F.count_if(sig).alias("n_significant"))
+    g = ttest_pvalues(long, by, unit, item, value).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_pairs"), F.count_if(sig).alias("n_significant"))
     return g.withColumn("sensitivity", F.bround(F.col("n_significant") / F.col("n_pairs"), 2))

@@ -1,16 +1,24 @@
 """Inverted index as DataFrames.
 
-    postings(docno, dl, term, tf)      one row per distinct term of a document
-    doc_lengths(docno, dl)
-    term_stats(term, df, cf)           document / collection frequency
-    coll_stats(n_docs, n_tokens, avgdl)
-
-Postings are produced inside the row of their document (sorted-run term
-frequencies), so building them needs no shuffle; only term statistics group by
-term (with map-side partial aggregation).  ``materialize`` cuts the lineage
-with a reliable checkpoint (or writes parquet to a given path, range-ordered by
-term so that ``term IN (...)`` filters skip row groups), so the corpus is
-tokenized once however many scoring passes follow.
+``TextIndex`` is lazy: one row a document with its terms and counts, from which
+postings and statistics follow without a shuffle of the texts.
+
+``StoredIndex`` is written once and then only read:
+
+    postings/bucket=B   term, docno, tf, dl   sorted by (term, docno)
+    terms/bucket=B      term, df, cf
+    documents           docno, dl, terms with counts
+    collection          n_docs, n_tokens
+
+The corpus is tokenized once, at the build.  Postings lie in buckets of terms, so
+a query whose terms are broadcast prunes buckets at run time (dynamic partition
+pruning) and row groups by the order of terms; a term of very many documents goes
+on over several files of its bucket, cut by docno.
+
+Stop list (X3): terms in more than ``stop_percent`` of the documents are left out of
+postings, lengths and statistics, as an index-time stop list does.  There are at
+most (distinct terms of an average document) * 100 / ``stop_percent`` of them,
+however large the corpus, so the list is a literal set in the plan of the build.
 """
 
 from __future__ import annotations
@@ -22,7 +30,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relkit.functions.text import add_term_frequencies, tokenize
-from relkit.session import cut_lineage
+
+STOP_PERCENT = 10
+BUCKETS = 32
 
 
 @dataclass
@@ -37,15 +47,6 @@ class TextIndex:
         tok = add_term_frequencies(tok, "_tok", "tfs")
         return cls(tok.select("docno", F.size("_tok").cast("long").alias("dl"), "tfs"))
 
-    def materialize(self, path: str | None = None) -> TextIndex:
-        """Compute the index once.  With ``path`` the postings are written as
-        parquet (shared storage); otherwise a reliable checkpoint is used."""
-        if path is None:
-            return TextIndex(cut_lineage(self.base))
-        spark = self.base.sparkSession
-        self.base.write.mode("overwrite").parquet(path)
-        return TextIndex(spark.read.parquet(path))
-
     @property
     def postings(self) -> DataFrame:
         # inline_outer + filter: a plain ``inline`` makes the optimizer infer
@@ -57,35 +58,87 @@ class TextIndex:
     def doc_lengths(self) -> DataFrame:
         return self.base.select("docno", "dl")
 
-    def term_stats(self, terms: DataFrame | None = None) -> DataFrame:
-        """(term, df, cf); restricted to ``terms`` (a small frame with a
-        ``term`` column, broadcast by the caller) when given."""
-        p = self.postings.select("term", "tf")
-        if terms is not None:
-            p = p.join(terms, "term", "left_semi")
-        return p.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").cast("long").alias("cf"))
+    def term_stats(self) -> DataFrame:
+        """(term, df, cf)"""
+        return self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").cast("long").alias("cf"))
 
     def coll_stats(self) -> DataFrame:
         return self.doc_lengths.agg(
             F.count(F.lit(1)).alias("n_docs"),
-            F.sum("dl").cast("long").alias("n_tokens"),
-        ).withColumn("avgdl", F.col("n_tokens") / F.col("n_docs"))
+            F.coalesce(F.sum("dl"), F.lit(0)).cast("long").alias("n_tokens"),
+        ).withColumn("avgdl", F.try_divide(F.col("n_tokens").cast("double"), F.col("n_docs").cast("double")))
+
+
+def stop_terms(term_stats: DataFrame, n_docs: Column, percent: int = STOP_PERCENT) -> DataFrame:
+    """(term, df) of the terms in more than ``percent`` % of the documents."""
+    return term_stats.where(F.col("df") * 100 > n_docs * percent).select("term", "df")
+
+
+def bucket_of(term: Column | str, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int").alias("bucket")
 
-    def coll_scalar(self) -> Column:
-        """The collection statistics as one scalar-subquery struct column."""
-        return self.doc_lengths.agg(F.struct(
-            F.count(F.lit(1)).cast("double").alias("n_docs"),
-            F.sum("dl").cast("double").alias("n_tokens"))).scalar()
 
+@dataclass
+class StoredIndex:
+    spark: SparkSession
+    path: str
+    buckets: int = BUCKETS
+
+    def _read(self, name: str, schema: str) -> DataFrame:
+        # with the schema given, no job looks for it
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+
+    @property
+    def postings(self) -> DataFrame:
+        return self._read("postings", "term string, docno string, tf int, dl bigint, bucket int")
+
+    @property
+    def terms(self) -> DataFrame:
+        return self._read("terms", "term string, df bigint, cf bigint, bucket int")
 
-def write_index(index: TextIndex, path: str, n_files: int | None = None) -> None:
-    """Persist postings range-partitioned and sorted by term: parquet min/max
-    statistics on ``term`` then let query-term filters skip row groups."""
-    p = index.postings
-    if n_files:
-        p = p.repartitionByRange(n_files, "term")
-    p.sortWithinPartitions("term").write.mode("overwrite").parquet(path)
+    @property
+    def doc_lengths(self) -> DataFrame:
+        return self._read("documents", "docno string, dl bigint")
 
+    @property
+    def collection(self) -> DataFrame:
+        return self._read("collection", "n_docs bigint, n_tokens bigint")
 
-def read_postings(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    def coll_scalar(self) -> Column:
+        """The collection statistics as one scalar-subquery struct column."""
+        return self.collection.select(F.struct(F.col("n_docs").cast("double").alias("n_docs"),
+                                               F.col("n_tokens").cast("double").alias("n_tokens"))).scalar()
+
+
+def store(index: TextIndex, path: str, stop_percent: int = STOP_PERCENT, buckets: int = BUCKETS) -> StoredIndex:
+    """Write the index to ``path``; 100 for ``stop_percent`` keeps every term."""
+    spark = index.base.sparkSession
+
+    def put(df: DataFrame, name: str, by: str | None = None) -> None:
+        w = df.write.mode("overwrite")
+        (w.partitionBy(by) if by else w).parquet(f"{path}/{name}")
+
+    put(index.base, "tokenized")
+    base = spark.read.schema(index.base.schema).parquet(f"{path}/tokenized")
+    whole = TextIndex(base)
+    put(whole.term_stats(), "all_terms")
+    stats = spark.read.schema("term string, df bigint, cf bigint").parquet(f"{path}/all_terms")
+    n_docs = base.agg(F.count(F.lit(1))).scalar()
+    stop = [r.term for r in stop_terms(stats, n_docs, stop_percent).select("term").collect()]
+
+    def kept(term: Column) -> Column:
+        return ~term.isin(stop) if stop else F.lit(True)
+
+    # written before it is exploded: lengths and filtered terms are computed once a document
+    docs = base.select("docno", F.filter("tfs", lambda x: kept(x["term"])).alias("tfs"))
+    put(docs.select("docno", F.aggregate("tfs", F.lit(0).cast("long"), lambda n, x: n + x["tf"]).alias("dl"), "tfs"),
+        "documents")
+    docs = TextIndex(spark.read.schema(index.base.schema).parquet(f"{path}/documents"))
+    out = StoredIndex(spark, path, buckets)
+    put(stats.where(kept(F.col("term"))).select("*", bucket_of("term", buckets)).repartition("bucket"), "terms", "bucket")
+    place = ["bucket", "term", "docno"]
+    put(docs.postings.select("term", "docno", "tf", "dl", bucket_of("term", buckets))
+        .repartitionByRange(*place).sortWithinPartitions(*place), "postings", "bucket")
+    put(out.doc_lengths.agg(F.count(F.lit(1)).alias("n_docs"),
+                            F.coalesce(F.sum("dl"), F.lit(0)).alias("n_tokens")), "collection")
+    return out

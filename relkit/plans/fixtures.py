@@ -364,6 +364,6 @@ def sql_with(views: list[str], body: str, extra: dict[str, str] | None = None) -
 
     for v in views:
         visit(v)
-    parts = [f"{v} AS ({SQL_CTES[v]})" for v in order]
-    parts += [f"{k} AS ({v})" for k, v in (extra or {}).items()]
+    parts = [f"{v} AS MATERIALIZED ({SQL_CTES[v]})" for v in order]
+    parts += [f"{k} AS MATERIALIZED ({v})" for k, v in (extra or {}).items()]
     return ("WITH " + ",\n".join(parts) + "\n" + body) if parts else body

@@ -172,7 +172,7 @@ def catchall(spark, sf):
                                  "pageTitle", "title").alias("catchall"))
 
 
-@register("multi_field_corpus", _sql(f"""
+MULTI_FIELD = f"""
     SELECT json_loc AS docno, pageTitle AS page_title, textBeforeTable AS text_before,
            array_to_string(flatten(relation), ' ') AS text, textAfterTable AS text_after,
            CASE WHEN headerRowIndex = -1 THEN ''
@@ -180,7 +180,10 @@ def catchall(spark, sf):
                 THEN array_to_string(list_transform(relation, lambda c: c[hp + 1]), ' ') END AS header
     FROM (SELECT *, {_NROWS} AS nr,
                  CASE WHEN headerRowIndex < 0 THEN {_NROWS} + headerRowIndex ELSE headerRowIndex END AS hp
-          FROM webc)""", ["v_web_raw"]))
+          FROM webc)"""
+
+
+@register("multi_field_corpus", _sql(MULTI_FIELD, ["v_web_raw"]))
 def multi_field_corpus(spark, sf):
     """(docno, page_title, text_before, text, text_after, header)."""
     r = _records(spark, sf)

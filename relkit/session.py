@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,10 +44,12 @@ def get_session(app: str = "relkit", master: str | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; only when it is unset
-    (tests, local runs) point it at a fresh scratch folder."""
+    """The cluster's shared ``spark.checkpoint.dir``; only a local session may be
+    without one and gets a fresh scratch folder."""
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="relkit-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     spark.sparkContext.setCheckpointDir(conf_dir)
@@ -61,3 +65,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that all executors share."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def table_version(spark: SparkSession, path: str) -> str:
+    """Names, sizes and times of a table's files, as one short string."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = [f"{s.getPath()}:{s.getLen()}:{s.getModificationTime()}" for s in fs.listStatus(folder)]
+    return hashlib.sha256("\n".join(sorted(files)).encode()).hexdigest()[:16]

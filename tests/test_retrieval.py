@@ -8,7 +8,8 @@ from relkit.functions.text import add_term_frequencies, tokenize
 from relkit.operators import evaluate as ev
 from relkit.operators import rankers as rk
 from relkit.operators import systems as sy
-from relkit.operators.textindex import TextIndex
+from relkit.operators import fieldindex as fi
+from relkit.operators.textindex import TextIndex, stop_terms, store
 
 
 def test_term_frequencies_in_row(spark):
@@ -35,11 +36,11 @@ def test_rank_ties_break_on_docno_desc(spark):
     assert [x.docno for x in r] == ["d2", "d3"]
 
 
-def test_bm25_all_models_one_pass(spark):
+def test_bm25_all_models_one_pass(spark, tmp_path):
     docs = spark.createDataFrame([("a", "apple banana apple"), ("b", "banana cherry"), ("c", "cherry")],
                                  "docno string, text string")
     topics = spark.createDataFrame([(1, "apple cherry")], "qid int, query string")
-    out = rk.retrieve(TextIndex.build(docs), topics, rk.MODEL_NAMES, k=10)
+    out = rk.retrieve(store(TextIndex.build(docs), str(tmp_path), stop_percent=100), topics, rk.MODEL_NAMES, k=10)
     bm = {r.docno: r.score for r in out.where("model = 'BM25'").collect()}
     n, avgdl = 3.0, 6 / 3
 
@@ -74,9 +75,75 @@ def test_kendall_tau(spark):
     assert same.tau == pytest.approx(1.0)
 
 
+def test_golden_scores(spark, tmp_path):
+    """One score a model, from its published definition and by hand: "x" stands
+    twice in a document of 4 words; 3 documents of 12 words, 2 with "x", 3 in all."""
+    docs = spark.createDataFrame([("a", "x x y z"), ("b", "x u u"), ("c", "v w w w w")], "docno string, text string")
+    topics = spark.createDataFrame([(1, "x")], "qid int, query string")
+    out = rk.retrieve(store(TextIndex.build(docs), str(tmp_path), stop_percent=100), topics)
+    got = {r.model: r.score for r in out.where("docno = 'a'").collect()}
+    lg, e = math.log2, math.e
+    tf, dl, df, cf, n, tokens = 2, 4, 2, 3, 3, 12   # average length 4: normalisation leaves tf as it is
+    core = tf * lg(tf / dl * 4 * n / cf) + 0.5 * lg(2 * math.pi * tf * (1 - tf / dl))
+    rel, prior, smooth, expect = tf / dl, cf / tokens, (tf + 1) / (dl + 1), cf * dl / tokens
+    want = {
+        "TF_IDF": 1.2 * tf / (tf + 1.2) * lg(n / df + 1), "BM25": lg(1.5 / 2.5) * 2.2 * tf / (tf + 1.2),
+        "DirichletLM": lg((tf + 2500 * prior) / (dl + 2500) / prior),
+        "PL2": (tf * lg(tf / 1.0) + (1 - tf) * lg(e) + 0.5 * lg(2 * math.pi * tf)) / (tf + 1),
+        "CoordinateMatch": 1, "DFIC": lg(1 + (tf - expect) ** 2 / expect), "DFIZ": lg(1 + (tf - expect) / expect ** 0.5),
+        "DFRee": tf * lg(smooth / rel) * ((tf + 1) * lg(smooth / prior) - tf * lg(rel / prior) + 0.5 * lg(smooth / rel)),
+        "Dl": 4, "DLH": (core + (dl - tf) * lg(1 - rel)) / 2.5, "DLH13": core / 2.5,
+        "DPH": (1 - rel) ** 2 / (tf + 1) * core, "Hiemstra_LM": lg(1 + 0.15 * rel / (0.85 * prior)),
+        "IFB2": (cf + 1) / (df * (tf + 1)) * tf * lg((n + 1) / (cf + 0.5)),
+        "In_expB2": (cf + 1) / (df * (tf + 1)) * tf * lg((n + 1) / (n * (1 - e ** -1) + 0.5)),
+        "In_expC2": (cf + 1) / (df * (tf * math.log(2) + 1)) * tf * math.log(2) * lg((n + 1) / (n * (1 - e ** -1) + 0.5)),
+        "InB2": (cf + 1) / (df * (tf + 1)) * tf * lg((n + 1) / (df + 0.5)), "InL2": tf / (tf + 1) * lg((n + 1) / (df + 0.5)),
+        "LemurTF_IDF": 1.2 * tf / (tf + 1.2) * lg(n / df) ** 2, "LGD": lg((df / n + tf) / (df / n)), "Tf": 2,
+    }
+    assert set(want) == set(rk.MODEL_NAMES)
+    assert got == pytest.approx(want, abs=1e-9)
+
+
+def test_stop_list_and_stored_index(spark, tmp_path):
+    docs = spark.createDataFrame([("a", "the x the"), ("b", "the y"), ("c", "the"), ("d", "")],
+                                 "docno string, text string")
+    idx = TextIndex.build(docs)
+    n = idx.doc_lengths.count()
+    from pyspark.sql import functions as F
+    assert [r.term for r in stop_terms(idx.term_stats(), F.lit(n), 50).collect()] == ["the"]
+    kept = store(idx, str(tmp_path), stop_percent=50)
+    assert sorted((r.term, r.docno, r.tf, r.dl) for r in kept.postings.collect()) == [("x", "a", 1, 1), ("y", "b", 1, 1)]
+    assert {r.docno: r.dl for r in kept.doc_lengths.collect()} == {"a": 1, "b": 1, "c": 0, "d": 0}
+    assert kept.collection.first() == (4, 2)
+    topics = spark.createDataFrame([(1, "the x")], "qid int, query string")
+    ranked = rk.retrieve(kept, topics, ["BM25"])
+    assert [r.docno for r in ranked.collect()] == ["a"]
+    assert "dynamicpruning" in ranked._jdf.queryExecution().executedPlan().toString()
+
+
+def test_fields_are_weighed(spark):
+    docs = spark.createDataFrame([("a", "apple", "pear pear"), ("b", "pear", "apple"), ("c", None, "plum")],
+                                 "docno string, title string, body string")
+    idx = fi.FieldIndex.build(docs, ["title", "body"])
+    got = {(r.term, r.docno): dict(r.tfs) for r in idx.postings.collect()}
+    assert got == {("apple", "a"): {"title": 1}, ("pear", "a"): {"body": 2}, ("pear", "b"): {"title": 1},
+                   ("apple", "b"): {"body": 1}, ("plum", "c"): {"body": 1}}
+    assert {r.field: r.n_tokens for r in idx.field_lengths().collect()} == {"title": 2, "body": 4}
+    terms = spark.createDataFrame([(1, "apple", 1.0)], "qid int, term string, qtf double")
+    first = {w: fi.rank_fields(fi.score_fields(idx, terms, {"title": w, "body": 1.0})).where("rank = 1").first()
+             for w in (5.0, 0.0)}
+    assert (first[5.0].docno, first[0.0].docno) == ("a", "b")
+    wtf = 5.0 / (1 - 0.75 + 0.75 * 1 / (2 / 3))
+    assert first[5.0].score == pytest.approx(math.log(1 + (3 - 2 + 0.5) / 2.5) * wtf / (1.2 + wtf))
+
+
 def test_t_test_and_sensitivity(spark):
-    p = sy.t_two_sided_p([2.0, 0.0, float("inf")], [10, 5, 4])
-    assert p[0] == pytest.approx(0.07338803, abs=1e-7) and p[1] == pytest.approx(1.0) and p[2] == 0.0
+    cases = [(2.0, 10, 0.07338803), (0.0, 5, 1.0), (float("inf"), 4, 0.0), (1.0, 1, 0.5), (-3.0, 2, 0.09546597),
+             (2.5, 3, 0.08770665), (1.96, 10000, 0.05002352), (None, 3, None), (2.0, 0, None)]
+    df = spark.createDataFrame([(t, d) for t, d, _ in cases], "t double, dof int")
+    got = [r.p for r in df.select(sy.t_two_sided_p("t", "dof").alias("p")).collect()]
+    for p, (_, _, want) in zip(got, cases):
+        assert (p is None and want is None) or p == pytest.approx(want, abs=1e-7)
     rows = []
     for q in range(5):
         rows += [(q, "a", 0.5), (q, "b", 0.5), (q, "c", 0.5 + 0.1)]   # a=b: all 0; c: constant shift
