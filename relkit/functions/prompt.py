@@ -80,8 +80,7 @@ def token_pieces(text: Column | str) -> Column:
 
 
 def token_count(text: Column | str) -> Column:
-    """default token counter (word runs + single symbols).  An exact BPE
-    counter can replace it through ``budget_cut(count=...)``."""
+    """token counter (word runs + single symbols), the unit of ``budget_cut``."""
     return F.size(F.regexp_extract_all(_c(text), F.lit(TOKEN_PIECE), 0)).cast("long")
 
 

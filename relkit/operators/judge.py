@@ -1,149 +1,107 @@
-"""Automatic judging (G1-G6): a pluggable batch judge applied with
-``mapInPandas`` -- the only operator that leaves the JVM, because the judge
-itself is an external call.
-
-A judge is any picklable callable ``judge(prompts: list[str], systems:
-list[str|None]) -> list[str]`` returning the reply text per prompt.  It is
-created once per task (not per row).  Outputs are keyed by the input key
-columns so the operator is idempotent under task retry; the input is
-projected to (keys, prompt, system) before crossing into Python.
+"""Automatic judging (G1-G6): a pluggable batch judge behind ``mapInPandas`` --
+the only step that leaves the JVM, because the judge itself is an external call.
+
+A judge is any picklable callable ``judge(prompts, systems, attempts) -> replies``
+over lists, called once a batch.  What it said is kept as a table of attempts
+``(keys..., attempt, reply, error)``; labels and retries are decided from that
+table with DataFrame operations, so a job that is interrupted goes on where its
+stored attempts end.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relkit.functions.prompt import (MAX_ATTEMPTS, RESPONSES_BINARY, RESPONSES_GRADED, SHRINK_STEP)
+from relkit.functions.prompt import (FIELD_NAME_SLOT, FIELD_TEXT_SLOT, MAX_ATTEMPTS, SHRINK_STEP, parse_rating, render,
+                                     shrink)
+from relkit.session import cut_lineage
 
-Judge = Callable[[list, list], list]
+Judge = Callable[[list, list, list], list]
 
 
-class OverlapJudge:
-    """Deterministic stand-in judge: counts distinct topic words found in the
-    rest of the prompt.  'Relevant (1)' at >= ``min_shared`` words
-    (graded: 'Highly Relevant (2)' at >= ``min_high``)."""
-
-    def __init__(self, min_shared: int = 2, min_high: int | None = None,
-                 topic_pattern: str = r"Topic: '([^']*)'"):
-        self.min_shared = min_shared
-        self.min_high = min_high
-        self.topic_re = re.compile(topic_pattern)
-        self.word_re = re.compile(r"[^\W_]+")
-
-    def __call__(self, prompts: list, systems: list) -> list:
-        out = []
-        for p, s in zip(prompts, systems):
-            text = (s or "") + "\n" + (p or "")
-            m = self.topic_re.search(text)
-            topic = m.group(1) if m else ""
-            body = text.replace(m.group(0), " ") if m else text
-            words = set(self.word_re.findall(topic.lower()))
-            hits = len(words & set(self.word_re.findall(body.lower())))
-            if self.min_high is not None and hits >= self.min_high:
-                out.append("Highly Relevant (2)")
-            elif hits >= self.min_shared:
-                out.append("Relevant (1)")
-            else:
-                out.append("Irrelevant (0)")
-        return out
-
-
-class FlakyJudge:
-    """Test judge that raises on the first ``fail_times`` calls for prompts
-    whose length modulo ``mod`` is 0 -- deterministic, so retried tasks see
-    the same failures."""
-
-    def __init__(self, inner: Judge, fail_times: int = 2, mod: int = 3):
-        self.inner, self.fail_times, self.mod = inner, fail_times, mod
-
-    def __call__(self, prompts: list, systems: list, attempt: int = 0) -> list:
-        if any(len(p or "") % self.mod == 0 for p in prompts) and attempt < self.fail_times:
-            raise ConnectionError("judge unavailable")
-        return self.inner(prompts, systems)
+def replies(df: DataFrame, judge_fn: Judge, keys: Sequence[str], prompt: str = "prompt",
+            system: str | None = None, attempt: str | None = None) -> DataFrame:
+    """(keys..., attempt, reply, error): one call a batch; where it fails, its
+    rows have no reply and the reason.  Only keys and texts cross into Python."""
+    inp = df.select(*keys, F.col(prompt).alias("_prompt"),
+                    (F.col(system) if system else F.lit(None)).cast("string").alias("_system"),
+                    (F.col(attempt) if attempt else F.lit(0)).cast("int").alias("attempt"))
+    kept = [*keys, "attempt"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inp.schema.fields if f.name in kept)
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = b[kept].copy()
+            try:
+                out["reply"] = judge_fn(b["_prompt"].tolist(), b["_system"].tolist(), b["attempt"].tolist())
+                out["error"] = None
+            except Exception as e:  # an unavailable judge marks the rows
+                out["reply"], out["error"] = None, f"{type(e).__name__}: {e}"
+            yield out
 
-def _parse(resp, graded: bool):
-    table = RESPONSES_GRADED if graded else RESPONSES_BINARY
-    return table.get(resp)
+    return inp.mapInPandas(run, f"{schema}, reply string, error string")
 
 
 def judge(df: DataFrame, judge_fn: Judge, keys: Sequence[str], prompt: str = "prompt",
           system: str | None = None, graded: bool = True, annotator: str = "llm",
           on_error: str = "keep") -> DataFrame:
-    """One reply per row; unparsable replies and failed calls keep
-    the row with a null label and a reason (``on_error='drop'`` drops them, as
-    the reference's no-retry scripts do)."""
-    cols = [*keys, prompt] + ([system] if system else [])
-    inp = df.select(*cols)
-    key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}"
-                           for f in inp.schema.fields if f.name in keys)
-    schema = f"{key_schema}, response STRING, label INT, annotator STRING, error STRING"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            prompts = pdf[prompt].tolist()
-            systems = pdf[system].tolist() if system else [None] * len(pdf)
-            try:
-                replies, err = judge_fn(prompts, systems), None
-            except Exception as e:  # noqa: BLE001 - an unavailable judge marks the rows
-                replies, err = [None] * len(prompts), f"{type(e).__name__}: {e}"
-            out = pdf[list(keys)].copy()
-            out["response"] = replies
-            out["label"] = pd.array([_parse(r, graded) for r in replies], dtype="Int32")
-            out["annotator"] = annotator
-            out["error"] = [err if err else (None if lab is not None else "unparsable")
-                            for lab in [_parse(r, graded) for r in replies]]
-            yield out
-
-    res = inp.mapInPandas(run, schema)
-    if on_error == "drop":
-        res = res.where(F.col("label").isNotNull())
-    return res
+    """One reply per row, (keys..., response, label, annotator, error);
+    unparsable replies and failed calls keep the row with a null label and a
+    reason (``on_error='drop'`` drops them, as the scripts without retry do)."""
+    out = replies(df, judge_fn, keys, prompt, system).select(
+        *keys, F.col("reply").alias("response"), parse_rating("reply", graded).alias("label"),
+        F.lit(annotator).alias("annotator"), "error")
+    out = out.withColumn("error", F.coalesce("error", F.when(F.col("label").isNull(), "unparsable")))
+    return out.where(F.col("label").isNotNull()) if on_error == "drop" else out
+
+
+def resolve_attempts(attempts: DataFrame, keys: Sequence[str], graded: bool = False, annotator: str = "llm",
+                     max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
+    """G2 over a table of attempts: (keys..., label, attempts, annotator).
+
+    The first attempt with a parsable reply decides; later ones, and those from
+    ``max_attempts`` on, count for nothing.  Without one the label is 0 and the
+    annotator 'error' once all attempts are used (the rows of the error sink),
+    and both are null while some are left.  Of several replies to one attempt the
+    smallest label counts.  One aggregation, partial before its shuffle."""
+    a = attempts.where(F.col("attempt").between(0, max_attempts - 1))
+    a = a.withColumn("_label", parse_rating("reply", graded))
+    first = F.min(F.when(F.col("_label").isNotNull(), F.struct("attempt", F.col("_label").alias("label"))))
+    g = a.groupBy(*keys).agg(first.alias("_first"), F.max("attempt").alias("_last"))
+    used = F.coalesce(F.col("_first.attempt"), F.col("_last")) + 1
+    failed = F.col("_last") == max_attempts - 1
+    return g.select(*keys, F.coalesce(F.col("_first.label"), F.when(failed, 0)).alias("label"), used.alias("attempts"),
+                    F.when(F.col("_first").isNotNull(), annotator).when(failed, "error").alias("annotator"))
+
+
+def open_attempts(prompts: DataFrame, attempts: DataFrame, keys: Sequence[str], prompt: str = "prompt",
+                  graded: bool = False, max_attempts: int = MAX_ATTEMPTS, step: int = SHRINK_STEP) -> DataFrame:
+    """``prompts`` that still need a call, with the number of their next attempt
+    and the prompt shortened for it (``step`` characters an attempt)."""
+    so_far = resolve_attempts(attempts, keys, graded, max_attempts=max_attempts)
+    left = prompts.join(so_far.select(*keys, "label", "attempts"), list(keys), "left").where(F.col("label").isNull())
+    number = F.coalesce("attempts", F.lit(0))
+    return left.withColumn("attempt", number).withColumn(prompt, shrink(prompt, number, step)).drop("label", "attempts")
 
 
 def judge_with_retry(df: DataFrame, judge_fn: Judge, keys: Sequence[str], prompt: str = "prompt",
-                     graded: bool = False, annotator: str = "llm", max_attempts: int = MAX_ATTEMPTS,
-                     step: int = SHRINK_STEP) -> DataFrame:
-    """Up to ``max_attempts`` calls per row; attempt a >= 1 drops the last
-    step·a characters of the prompt; a failed call or an unparsable reply uses
-    up an attempt.  After the last attempt the label is 0 with annotator
-    'error' (those rows are the error sink: ``where(annotator == 'error')``)."""
-    inp = df.select(*keys, prompt)
-    key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}"
-                           for f in inp.schema.fields if f.name in keys)
-    schema = f"{key_schema}, label INT, attempts INT, annotator STRING"
-    takes_attempt = isinstance(judge_fn, FlakyJudge)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            labels, attempts, who = [], [], []
-            for p in pdf[prompt].tolist():
-                lab, a = None, 0
-                while a < max_attempts:
-                    text = p if a == 0 else (p or "")[:max(len(p or "") - step * a, 0)]
-                    try:
-                        r = (judge_fn([text], [None], a) if takes_attempt else judge_fn([text], [None]))[0]
-                        lab = _parse(r, graded)
-                    except Exception:  # noqa: BLE001
-                        lab = None
-                    a += 1
-                    if lab is not None:
-                        break
-                labels.append(0 if lab is None else lab)
-                attempts.append(a)
-                who.append("error" if lab is None else annotator)
-            out = pdf[list(keys)].copy()
-            out["label"] = pd.array(labels, dtype="Int32")
-            out["attempts"] = pd.array(attempts, dtype="Int32")
-            out["annotator"] = who
-            yield out
-
-    return inp.mapInPandas(run, schema)
+                     system: str | None = None, graded: bool = False, annotator: str = "llm",
+                     max_attempts: int = MAX_ATTEMPTS, step: int = SHRINK_STEP) -> DataFrame:
+    """Up to ``max_attempts`` rounds; each sends the prompts that are still
+    open, and its replies are checkpointed before the next, so no call is made
+    again.  The result is ``resolve_attempts`` of all rounds."""
+    attempts = cut_lineage(replies(df, judge_fn, keys, prompt, system))
+    for _ in range(1, max_attempts):
+        left = open_attempts(df, attempts, keys, prompt, graded, max_attempts, step)
+        new = cut_lineage(replies(left, judge_fn, keys, prompt, system, "attempt"))
+        if new.isEmpty():
+            break
+        attempts = attempts.unionByName(new)
+    return resolve_attempts(attempts, keys, graded, annotator, max_attempts)
 
 
 def replay_judge(df: DataFrame, recorded: DataFrame, keys: Sequence[str],
@@ -154,12 +112,13 @@ def replay_judge(df: DataFrame, recorded: DataFrame, keys: Sequence[str],
 
 
 def unpivot_field_prompts(df: DataFrame, keys: Sequence[str], fields: dict[str, str],
-                          template: str) -> DataFrame:
-    """One prompt per (key, field): fields maps a field name to the
-    column holding its text; $FIELD_TEXT / $FIELD_NAME are filled literally."""
-    from relkit.functions.prompt import FIELD_NAME_SLOT, FIELD_TEXT_SLOT, render
+                          template: Column | str) -> DataFrame:
+    """One prompt per (key, field): ``fields`` maps the name a prompt shows to
+    the column holding its text; $FIELD_TEXT / $FIELD_NAME are filled literally."""
     entries = F.array(*[F.struct(F.lit(name).alias("field"), F.col(col).cast("string").alias("field_text"))
                         for name, col in fields.items()])
-    long = df.select(*keys, F.inline(entries))
-    return long.withColumn("prompt", render(template, **{
+    template = F.lit(template) if isinstance(template, str) else template
+    long = df.select(*keys, template.alias("_template"), F.inline(entries))
+    out = long.withColumn("prompt", render(F.col("_template"), **{
         FIELD_TEXT_SLOT: F.col("field_text"), FIELD_NAME_SLOT: F.col("field")}))
+    return out.drop("_template")

@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from relkit.functions import prompt as pr
+from relkit.functions import prompt_variants as pv
 from relkit.operators import judge as jg
 
 
@@ -44,16 +45,56 @@ def test_parse_rating_edges(spark):
 
 
 def test_judge_and_retry(spark):
+    def overlap(prompts, systems, attempts):
+        """Counts distinct topic words in the rest of the prompt: relevant from two."""
+        import re
+        out = []
+        for p in prompts:
+            topic, _, body = p.partition("\n")
+            shared = set(re.findall(r"\w+", topic.lower()[7:])) & set(re.findall(r"\w+", body.lower()))
+            out.append("Relevant (1)" if len(shared) >= 2 else "Irrelevant (0)")
+        return out
+
+    def flaky(prompts, systems, attempts):
+        if min(attempts) < 2:
+            raise ConnectionError("judge unavailable")
+        return overlap(prompts, systems, attempts)
+
     df = spark.createDataFrame([(1, "Topic: 'red apple'\nTable: red apple"), (2, "Topic: 'red apple'\nTable: x"),
                                 (3, "abc")], "k int, prompt string")
-    out = {r.k: r for r in jg.judge(df, jg.OverlapJudge(min_shared=2), ["k"], graded=False).collect()}
+    out = {r.k: r for r in jg.judge(df, overlap, ["k"], graded=False).collect()}
     assert out[1].label == 1 and out[2].label == 0 and out[3].label == 0
-    retry = {r.k: r for r in jg.judge_with_retry(df, jg.FlakyJudge(jg.OverlapJudge(), fail_times=2, mod=3),
-                                                 ["k"]).collect()}
-    assert retry[3].attempts == 3 and retry[3].annotator == "llm"     # len 3 % 3 == 0: two failures
-
-    class Broken:
-        def __call__(self, prompts, systems):
-            raise ConnectionError("down")
-    err = jg.judge_with_retry(df, Broken(), ["k"]).collect()
-    assert all(r.label == 0 and r.attempts == 7 and r.annotator == "error" for r in err)
+    retry = {r.k: r for r in jg.judge_with_retry(df, flaky, ["k"], step=1).collect()}
+    assert {(r.attempts, r.annotator) for r in retry.values()} == {(3, "llm")}
+    assert (retry[1].label, retry[2].label) == (0, 0)  # the third attempt has lost "le"
+
+    def broken(prompts, systems, attempts):
+        raise ConnectionError("down")
+
+    err = jg.judge_with_retry(df, broken, ["k"]).collect()
+    assert len(err) == 3 and all(r.label == 0 and r.attempts == 7 and r.annotator == "error" for r in err)
+    kept = jg.judge(df, broken, ["k"]).first()
+    assert kept.label is None and kept.error.startswith("ConnectionError")
+    assert jg.judge(df, broken, ["k"], on_error="drop").count() == 0
+
+
+def test_attempts_are_resolved(spark):
+    rows = [("a", 0, None), ("a", 1, "Relevant (1)"), ("a", 2, "Irrelevant (0)"),      # the first that parses
+            ("b", 0, "maybe"), ("b", 1, ""), *[("c", i, "?") for i in range(7)], ("c", 7, "Relevant (1)"),
+            ("d", 0, "Relevant (1)"), ("d", 0, "Irrelevant (0)"), (None, 0, "Relevant (1)")]
+    got = {r.k: tuple(r)[1:] for r in jg.resolve_attempts(
+        spark.createDataFrame(rows, "k string, attempt int, reply string"), ["k"]).collect()}
+    assert got == {"a": (1, 2, "llm"), "b": (None, 2, None), "c": (0, 7, "error"), "d": (0, 1, "llm"),
+                   None: (1, 1, "llm")}
+    prompts = spark.createDataFrame([(k, "x" * 500) for k in "abcde"], "k string, prompt string")
+    attempts = spark.createDataFrame(rows, "k string, attempt int, reply string")
+    left = {r.k: (r.attempt, len(r.prompt)) for r in jg.open_attempts(prompts, attempts, ["k"]).collect()}
+    assert left == {"b": (2, 100), "e": (0, 500)}
+
+
+def test_cut_comes_before_shrink(spark):
+    df = spark.createDataFrame([("a b c d e f", "x y", True), ("a b c d e f", "x y", False), ("a b", None, True)],
+                               "p string, s string, counted boolean")
+    got = [r[0] for r in df.select(pv.attempt_prompt(F.col("p"), F.col("s"), F.col("counted"), 0, 7, 1)).collect()]
+    assert got == ["a b c d", "a b c d e f", "a b"]
+    assert set(pv.VARIANTS) >= {"A_split_graded", "fields_binary"} and len(pv.VARIANTS) == 10
