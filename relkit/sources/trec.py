@@ -37,7 +37,7 @@ def _path_part(path):
 
 
 def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """(file, line_no, value) with the line number inside its file."""
+    """(value, file, _pos); ``_pos`` grows along each file.  ``numbered_lines`` has dense numbers."""
     df = spark.read.text(paths if isinstance(paths, str) else list(paths))
     df = df.select("value", F.col("_metadata.file_path").alias("file"),
                    F.monotonically_increasing_id().alias("_pos"))
@@ -107,20 +107,38 @@ def read_qrels_tsv(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame
     return df.drop("iteration").withColumn("label", parse_label("label"))
 
 
-def read_label_files(spark: SparkSession, variants: dict[str, str]) -> DataFrame:
-    """Many label files in ONE scan; each file's path is mapped to its
-    variant name.  (variant, topic, iteration, json_loc, relevancy)."""
-    lines = spark.read.text(list(variants.values())).select(
-        "value", F.col("_metadata.file_path").alias("file"))
+def _named_lines(spark: SparkSession, paths: dict[str, str], column: str) -> DataFrame:
+    """The lines of many files in one scan, each with the name of the path it was
+    read through: a file, a folder or a glob; of several, the longest.  A file of
+    none is an error."""
+    lines = spark.read.text(list(paths.values())).select("value", F.col("_metadata.file_path").alias("file"))
     # _metadata.file_path is a URI: compare whole paths, of the file or its folder
     file = _path_part(F.col("file"))
 
     def under(path: str):
         local = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?/*", "/", path) if ":/" in path else os.path.abspath(path)
-        return (file == local) | file.startswith(local.rstrip("/") + "/")
+        local = local.rstrip("/")
+        if not re.search(r"[*?]", local):
+            return (file == local) | file.startswith(local + "/")
+        glob = "".join({"*": "[^/]*", "?": "[^/]"}.get(c, re.escape(c)) for c in local)
+        return file.rlike(f"^{glob}(/|$)")
+
+    longest = sorted(paths.items(), key=lambda kv: (-len(kv[1]), kv[0]))
+    unknown = F.raise_error(F.concat(F.lit("read through none of the paths: "), file)).cast("string")
+    return lines.select("value", F.coalesce(*[F.when(under(p), F.lit(k)) for k, p in longest], unknown).alias(column))
+
+
+def read_label_files(spark: SparkSession, variants: dict[str, str]) -> DataFrame:
+    """Many label files in ONE scan; each file's path is mapped to its
+    variant name.  (variant, topic, iteration, json_loc, relevancy)."""
+    return parse_qrels(_named_lines(spark, variants, "variant"))
+
 
-    variant = F.coalesce(*[F.when(under(p), F.lit(k)) for k, p in variants.items()])
-    return parse_qrels(lines.withColumn("variant", variant)).drop("file")
+def read_field_files(spark: SparkSession, fields: dict[str, str]) -> DataFrame:
+    """The judgement files of several fields, united in one scan:
+    (topic, iteration, json_loc, relevancy, field)."""
+    out = parse_qrels(_named_lines(spark, fields, "field"))
+    return out.select("topic", "iteration", "json_loc", "relevancy", "field")
 
 
 def qrels_lines(judgements: DataFrame, iteration: int = 0) -> DataFrame:
@@ -143,7 +161,27 @@ def judgement_json(judgements: DataFrame, iteration: int = 0) -> DataFrame:
         F.col("relevancy").cast("double").alias("relevancy"))).alias("value"))
 
 
-def with_line_order(lines: DataFrame, pos: str = "_pos") -> DataFrame:
-    """Line order within a file as a dense number (for order-preserving sinks)."""
-    w = Window.partitionBy("file").orderBy(pos)
-    return lines.withColumn("line_no", F.row_number().over(w))
+def write_ordered(rows: DataFrame, path: str, order: Sequence[str], value: str = "value",
+                  mode: str = "overwrite") -> None:
+    """Text lines in the order of ``order``: ranges of it go to files whose
+    names sort likewise, so the lines of the folder are in order as a whole."""
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).select(value).write.mode(mode).text(path)
+
+
+def numbered_lines(spark: SparkSession, paths: str | Sequence[str], per_file: bool = False) -> DataFrame:
+    """(file, line_no, value): dense line numbers from 1 over the files in the order
+    of their names, or within each file.
+
+    Two passes: the first counts the lines of every split and sums them up in
+    order (one row a split); the second adds a line's place in its split to the
+    lines before it.  A split is read by one task from front to back, so that place
+    follows from the running number of the task's rows; lines are not sorted."""
+    df = spark.read.text(paths if isinstance(paths, str) else list(paths)).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("pos"))
+    splits = df.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
+    order = Window.partitionBy("file").orderBy("block") if per_file else Window.orderBy("file", "block")
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    begin = splits.select("file", "block", "first", before.alias("before"))
+    return df.join(begin, ["file", "block"]).select(
+        "file", (F.col("before") + F.col("pos") - F.col("first") + 1).alias("line_no"), "value")

@@ -1,7 +1,10 @@
 """Readers: qrels/topics/run text and web-table JSON Lines edge rows."""
 
+import gzip
 import json
 
+import pytest
+
 from relkit.sources import trec
 from relkit.sources import webtables as wt
 
@@ -84,3 +87,75 @@ def test_qrels_writer_roundtrip(spark, tmp_path):
     trec.write_qrels(j, out)
     back = {r.json_loc: r.relevancy for r in trec.read_qrels(spark, out).collect()}
     assert back == {"t1": 2, "t2": 0}
+
+
+def test_broken_gzip_is_read_as_far_as_it_goes(spark, tmp_path):
+    lines = [json.dumps({"json_loc": f"t{i}", "length": i, "rated": i % 2 == 0, "pad": str(hash(i * 7919) % 10 ** 9)})
+             for i in range(20000)]
+    packed = gzip.compress("\n".join([*lines, ""]).encode())
+    (tmp_path / "whole.gz").write_bytes(packed)
+    (tmp_path / "cut.gz").write_bytes(packed[:len(packed) // 2])
+    (tmp_path / "two.gz").write_bytes(gzip.compress(b'{"json_loc": "a"}\n{bad\n\n') + gzip.compress(b'{"json_loc": "b"}'))
+    (tmp_path / "none.gz").write_bytes(b"")
+    (tmp_path / "noise.gz").write_bytes(b"no gzip at all")
+    rows, losses = wt.read_corpus_stats_counted(spark, str(tmp_path))
+    of = {r.file.rsplit("/", 1)[1]: r for r in losses.collect()}
+    assert (of["whole.gz"].n_lines, of["whole.gz"].n_rows, of["whole.gz"].broken) == (20000, 20000, False)
+    cut = of["cut.gz"]
+    assert cut.broken and 5000 < cut.n_rows < 15000 and cut.n_lost <= 1
+    assert (of["two.gz"].n_rows, of["two.gz"].n_lost, of["two.gz"].broken) == (2, 2, False)
+    assert "none.gz" not in of  # Spark's source has no row for an empty file
+    assert (of["noise.gz"].n_lines, of["noise.gz"].broken) == (0, True)
+    assert rows.count() == 20000 + cut.n_rows + 2
+    assert rows.where("json_loc = 't4000'").count() == 2
+
+
+def test_relations_round_trip(spark, tmp_path):
+    recs, _ = wt.parse_web_tables(spark.createDataFrame([(_record("a"),), (_record("b", url=None),), (_record("a"),)],
+                                                        "value string"))
+    wt.write_relations(wt.clean_records(recs), str(tmp_path))
+    for name, schema in wt.RELATIONS.items():
+        rows = wt.read_relation(spark, str(tmp_path), name)
+        assert rows.columns == schema.names and sorted(r.json_loc for r in rows.collect()) == ["a", "b"]
+    urls = {r.json_loc: r.url for r in wt.read_relation(spark, str(tmp_path), "page_url").collect()}
+    assert urls == {"a": "u", "b": None}
+
+
+def test_key_faults(spark):
+    def keys(*names):
+        return spark.createDataFrame([(n,) for n in names], "json_loc string")
+    got = wt.key_faults({"web_table": keys("a", "b", None, None), "page_url": keys("a", "a", "z")}).collect()
+    assert {tuple(r) for r in got} == {("web_table", "null_key", None, 2), ("page_url", "duplicate_key", "a", 2),
+                                       ("page_url", "orphan", "z", 1)}
+
+
+def test_longest_path_names_a_file(spark, tmp_path):
+    for d, label in (("x", 0), ("x/inner", 1), ("y1", 2)):
+        (tmp_path / d).mkdir()
+        (tmp_path / d / "q.txt").write_text(f"1 0 {d} {label}\n")
+    fields = {"outer": f"{tmp_path}/x/q.txt", "inner": f"{tmp_path}/x/inner", "glob": f"{tmp_path}/y?"}
+    got = {r.json_loc: r.field for r in trec.read_field_files(spark, fields).collect()}
+    assert got == {"x": "outer", "x/inner": "inner", "y1": "glob"}
+
+
+def test_line_numbers_over_splits(spark, tmp_path):
+    (tmp_path / "b.txt").write_text("".join(f"b{i}\n" for i in range(5000)))
+    (tmp_path / "a.txt").write_text("".join(f"a{i} {'x' * (i % 50)}\n" for i in range(5000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        rows = trec.numbered_lines(spark, str(tmp_path))
+        assert rows.rdd.getNumPartitions() > 1
+        whole = [r.value.split(" ")[0] for r in sorted(rows.collect(), key=lambda r: r.line_no)]
+        assert whole == [f"a{i}" for i in range(5000)] + [f"b{i}" for i in range(5000)]
+        each = trec.numbered_lines(spark, str(tmp_path), per_file=True).collect()
+        assert {(r.value.split(" ")[0][0], r.line_no, int(r.value.split(" ")[0][1:]) + 1) for r in each} == {
+            (f, i, i) for f in "ab" for i in range(1, 5001)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_file_of_no_path_is_an_error(spark, tmp_path, monkeypatch):
+    (tmp_path / "q[1].txt").write_text("1 0 t 1\n")
+    with pytest.raises(Exception, match="none of the paths"):
+        trec.read_field_files(spark, {"f": f"{tmp_path}/q\\[1\\].txt"}).collect()
