@@ -205,20 +205,36 @@ def test_edited_texts(documents, texts):
         assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
 
 
-def test_syncmers_by_definition():
-    text = prose(5, 80)
+@pytest.mark.parametrize("text", [prose(5, 80), "-" * 300 + prose(4, 30) + "=-" * 200, "line of words\n" * 40])
+def test_syncmers_by_definition(text, monkeypatch):
     code = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
     h = syncmers._mixed(code + np.uint64(syncmers._A)).tolist()
     roll = lambda part: sum(x * pow(syncmers._A, len(part) - 1 - i, 1 << 64) for i, x in enumerate(part)) % (1 << 64)
     mix = lambda x: int(syncmers._mixed(np.array([x], np.uint64))[0])
     inner = [mix(roll(h[i:i + syncmers.S])) for i in range(len(h) - syncmers.S + 1)]
-    found = {}
+    want = []
     for i in range(len(h) - syncmers.K + 1):
         s = inner[i:i + syncmers.K - syncmers.S + 1]
-        if min(s) in (s[0], s[-1]):
-            found.setdefault(mix(roll(h[i:i + syncmers.K])) >> 24, i)
-    want = sorted((p, x) for x, p in sorted(found.items())[:syncmers.ANCHORS])
+        if s.index(min(s)) in (0, len(s) - 1):  # the leftmost smallest
+            x = mix(roll(h[i:i + syncmers.K])) >> 24
+            if want and want[-1][1] == x:
+                want[-1] = (*want[-1][:2], want[-1][2] + 1)
+            else:
+                want.append((i, x, 1))
     assert syncmers.anchors(text) == want
+    monkeypatch.setattr(syncmers, "STRETCH", 100)
+    assert syncmers.anchors(text) == want
+
+
+def test_one_mark_over_and_over():
+    import time
+    begin = time.time()
+    for text in ("-" * 10_000_000, "ab" * 1_000_000, "a b c\n" * 300_000):
+        found = syncmers.anchors(text)
+        assert len(found) <= 3 and sum(n for _, _, n in found) > len(text) / 100
+        assert syncmers.likeness(found, syncmers.anchors(text[:len(text) // 2])) > 0
+    assert syncmers.fingerprint(syncmers.anchors("-" * 100)).endswith("@0*37")
+    assert time.time() - begin < 60
 
 
 def test_every_anchor_counts():
@@ -230,11 +246,11 @@ def test_every_anchor_counts():
         passage = letters(400)
         a, b = (syncmers.anchors(letters(n // 2) + passage + letters(n // 2)) for _ in range(2))
         alone = syncmers.anchors(passage)
-        assert {(n // 2 + p, h) for p, h in alone} <= set(a) & set(b)
+        assert {(n // 2 + p, h, k) for p, h, k in alone} <= set(a) & set(b)
         assert syncmers.likeness(a, b) >= 2 * len(alone) / (len(a) + len(b)) > 0
         assert len(a) > 0.03 * n
     twice = syncmers.anchors(passage + passage)
-    assert len(twice) > len({h for _, h in twice})  # a k-mer that repeats keeps each place
+    assert len(twice) > len({h for _, h, _ in twice})  # a k-mer that repeats keeps each place
 
 
 def test_chain():
