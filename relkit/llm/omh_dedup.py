@@ -14,9 +14,10 @@ of four share a pair of words, which texts of so many words have as keys too.
 Texts above SIMILAR * EXACT words have the sketches, so that a pair has either
 the one or the other in common.
 
-Candidates: in rounds, each member of a bucket meets the first and the last of
+Candidates: buckets of one text are dropped once and for all.  In rounds, each member of a bucket meets the first and the last of
 one order of all texts, a new order each round, unless they are of one class
-already; the rounds end when one joins no classes.  In buckets that still hold
+already; a bucket that has become one class is left out of the next round, new
+links extend the classes so far, and the rounds end when one joins no classes.  In buckets that still hold
 texts of several classes, every pair of two classes is then tested, in blocks of
 at most BLOCK texts, by lengths and by counts of hashed words, two lower bounds
 of the edit distance; pairs that neither excludes are candidates too.  So any two
@@ -168,7 +169,7 @@ def similar(x: np.ndarray, y: np.ndarray) -> float:
     return 1 - d / longer if d <= most else 0.0
 
 
-READ = "digest string, n_words int, words binary, counts binary, keys array<bigint>"
+READ = "digest string, n_words int, words binary, counts binary"
 
 
 def reader():
@@ -189,17 +190,63 @@ def reader():
                             ids[i] = seen[w[i]] = xxhash.xxh3_64_intdigest(w[i])
                 ids = np.array(ids, np.uint64)
                 raw = ids.astype("<u8").tobytes()
-                out.append((xxhash.xxh3_128_hexdigest(raw), len(ids), ids.astype("<u4").tobytes(), counted(ids),
-                            bucket_keys(ids)))
-            yield pd.DataFrame(out, columns=["digest", "n_words", "words", "counts", "keys"])
+                out.append((xxhash.xxh3_128_hexdigest(raw), len(ids), ids.astype("<u4").tobytes(), counted(ids)))
+            yield pd.DataFrame(out, columns=["digest", "n_words", "words", "counts"])
 
     return read
 
 
-def open_buckets(reps: DataFrame, roots: DataFrame, least: int) -> DataFrame:
+def shared_keys(table: DataFrame, reps: DataFrame) -> DataFrame:
+    """(key, rep) of the buckets that hold several texts, made once.
+
+    The keys of a text are computed from its words where the text is read, once a
+    task for copies, and travel as (key, short digest); a task that has them by key
+    keeps those it meets with several texts, looking at one row after the other.
+    Only what is left is joined with the texts' ids."""
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for b in batches:
+            of, short = [], []
+            for digest, raw in zip(b.column("digest").to_pylist(), b.column("words").to_pylist()):
+                if digest not in seen:
+                    seen.add(digest)
+                    of.append(bucket_keys(_mixed(np.frombuffer(raw, "<u4").astype(np.uint64))))
+                    short.append(int(digest[:16], 16))
+            n = [len(k) for k in of]
+            if sum(n):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(of)), pa.array(np.repeat(np.array(short, np.uint64).view(np.int64), n))],
+                    ["key", "text"])
+
+    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, kept = None, False  # the row before this batch, and whether it went out
+        for b in batches:
+            key, text = (b.column(c).to_numpy() for c in ("key", "text"))
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1])
+            if len(key) and last is not None:
+                new[0] = (key[0], text[0]) != last
+            key, text = key[new], text[new]
+            if not len(key):
+                continue
+            same = np.concatenate([[last is not None and last[0] == key[0]], key[1:] == key[:-1]])
+            keep = same.copy()
+            keep[:-1] |= same[1:]
+            first = [last] if same[0] and not kept else []
+            out = np.concatenate([[k for k, _ in first], key[keep]]), np.concatenate([[t for _, t in first], text[keep]])
+            last, kept = (key[-1], text[-1]), bool(keep[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in out], ["key", "text"])
+
+    flat = table.select("digest", "words").mapInArrow(keys, "key bigint, text bigint")
+    flat = flat.repartition("key").sortWithinPartitions("key", "text").mapInArrow(several, "key bigint, text bigint")
+    text = F.conv(F.substring("digest", 1, 16), 16, -10).cast("bigint")
+    return written(written(flat, "omh-keys").join(reps.select(text.alias("text"), "rep"), "text").select("key", "rep"),
+                   "omh-buckets")
+
+
+def open_buckets(keys: DataFrame, roots: DataFrame, least: int) -> DataFrame:
     """(key, n, rep, root) of the buckets of ``least`` texts and several classes."""
-    flat = (reps.select("rep", "keys").join(roots, "rep", "left")
-            .select("rep", F.coalesce("root", "rep").alias("root"), F.explode("keys").alias("key")))
+    flat = keys.join(roots, "rep", "left").select("rep", F.coalesce("root", "rep").alias("root"), "key")
     several = (flat.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"),
                                        F.max("root").alias("high"))
                .where((F.col("low") != F.col("high")) & (F.col("n") >= least)).select("key", "n"))
@@ -298,22 +345,35 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def linked(reps: DataFrame, table: DataFrame) -> DataFrame:
-    """(rep, root) of all texts that have a link."""
+def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` after more links: only the classes that these touch are worked out
+    anew, between their roots."""
+    def root_of(c: str) -> DataFrame:
+        return roots.select(F.col("rep").alias(c), F.col("root").alias(f"root_{c}"))
+
+    between = links.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").select(
+        F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    new = components(between)
+    moved = roots.join(new.select(F.col("rep").alias("root"), F.col("root").alias("to")), "root", "left")
+    return moved.select("rep", F.coalesce("to", "root").alias("root")).unionByName(new)
+
+
+def linked(keys: DataFrame, table: DataFrame) -> DataFrame:
+    """(rep, root) of all texts that have a link, from the shared keys."""
     texts = table.select(F.col("rid").alias("rep"), "words")
-    roots = reps.select("rep", F.col("rep").alias("root")).limit(0)
-    links, turn = None, 0
+    roots, turn = keys.select("rep", F.col("rep").alias("root")).limit(0), 0
     while True:
-        # a bucket of up to three was met whole in the first round
-        members = open_buckets(reps, roots, 4 if turn else 2)
+        # a bucket of up to three was met whole in the first round; one that has
+        # become a single class is not looked at again
+        members = written(open_buckets(keys, roots, 4 if turn else 2), f"omh-open{turn}")
+        keys = members.select("key", "rep")
         pairs = written(met(members, turn), f"omh-pairs{turn}")
         new = written(verified(pairs, texts), f"omh-links{turn}")
         if turn and new.isEmpty():
             pairs = written(rest(members, table), "omh-rest")
             new = written(verified(pairs, texts), "omh-links")
-            return roots if new.isEmpty() else components(links.unionByName(new))
-        links, turn = new if links is None else links.unionByName(new), turn + 1
-        roots = components(links)
+            return roots if new.isEmpty() else merged(roots, new)
+        roots, turn = written(merged(roots, new), f"omh-roots{turn}"), turn + 1
 
 
 def classed(docs: DataFrame, rows: bool = False) -> DataFrame:
@@ -323,8 +383,8 @@ def classed(docs: DataFrame, rows: bool = False) -> DataFrame:
     d = d.select(F.monotonically_increasing_id().alias("rid"), *["row"] * rows, "doc_id", reader()("text").alias("r"))
     table = written(d.select("rid", *["row"] * rows, "doc_id", "r.*"), "omh")
     # copies: one text a digest goes on
-    reps = written(table.groupBy("digest").agg(F.min("rid").alias("rep"), F.first("keys").alias("keys")), "omh-texts")
-    roots = linked(reps, table)
+    reps = written(table.groupBy("digest").agg(F.min("rid").alias("rep")), "omh-texts")
+    roots = linked(shared_keys(table, reps), table)
     known = reps.select("digest", "rep").join(roots, "rep", "left").select("digest",
                                                                            F.coalesce("root", "rep").alias("root"))
     member = table.select("rid", "doc_id", "digest").join(known, "digest")
