@@ -232,10 +232,10 @@ def shared_keys(table: DataFrame, reps: DataFrame) -> DataFrame:
             same = np.concatenate([[last is not None and last[0] == key[0]], key[1:] == key[:-1]])
             keep = same.copy()
             keep[:-1] |= same[1:]
-            first = [last] if same[0] and not kept else []
-            out = np.concatenate([[k for k, _ in first], key[keep]]), np.concatenate([[t for _, t in first], text[keep]])
+            before = np.array([last] if same[0] and not kept else [], np.int64).reshape(-1, 2)
+            out = np.concatenate([before[:, 0], key[keep]]), np.concatenate([before[:, 1], text[keep]])
             last, kept = (key[-1], text[-1]), bool(keep[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in out], ["key", "text"])
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, out)), ["key", "text"])
 
     flat = table.select("digest", "words").mapInArrow(keys, "key bigint, text bigint")
     flat = flat.repartition("key").sortWithinPartitions("key", "text").mapInArrow(several, "key bigint, text bigint")

@@ -361,3 +361,24 @@ def test_blocks_meet_one_another(spark, monkeypatch):
     whole = {tuple(r) for r in omh_dedup.rest(members, near).collect()}
     monkeypatch.setattr(omh_dedup, "BLOCK", 16)
     assert {tuple(r) for r in omh_dedup.rest(members, near).collect()} == whole >= want
+
+
+@pytest.mark.parametrize("rows", [3, 500])
+def test_shared_keys_are_those_of_several_texts(spark, rows):
+    """Whatever the batches, also where a bucket goes on from one to the next."""
+    base = prose(3, 60).split()
+    docs = table(spark, [(i, " ".join(base[:i % 40 + 20] + [f"x{i}"]), "en", "s") for i in range(60)] * 2)
+    omh_dedup.ready(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    d = docs.selectExpr("monotonically_increasing_id() AS rid", "doc_id", "text")
+    t = omh_dedup.written(d.select("rid", "doc_id", omh_dedup.reader()("text").alias("r")).select("rid", "r.*"), "keys")
+    reps = t.groupBy("digest").agg({"rid": "min"}).withColumnRenamed("min(rid)", "rep")
+    of = {r.rep: r.words for r in reps.join(t.selectExpr("rid AS rep", "words"), "rep").collect()}
+    plain = {}
+    for rep, words in of.items():
+        ids = omh_dedup._mixed(np.frombuffer(words, "<u4").astype(np.uint64))
+        for key in omh_dedup.bucket_keys(ids).tolist():
+            plain.setdefault(key, set()).add(rep)
+    got = sorted((r.key, r.rep) for r in omh_dedup.shared_keys(t, reps).collect())
+    assert got == sorted((k, rep) for k, held in plain.items() if len(held) > 1 for rep in held)
+    assert len(of) == 60 and len(got) > 1000
