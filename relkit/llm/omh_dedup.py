@@ -17,7 +17,8 @@ the one or the other in common.
 Candidates: buckets of one text are dropped once and for all.  In rounds, each member of a bucket meets the first and the last of
 one order of all texts, a new order each round, unless they are of one class
 already; a bucket that has become one class is left out of the next round, new
-links extend the classes so far, and the rounds end when one joins no classes.  In buckets that still hold
+links extend the classes so far, and the rounds end when one links no more than
+YIELD of the pairs it meets.  In buckets that then hold
 texts of several classes, every pair of two classes is then tested, in blocks of
 at most BLOCK texts, by lengths and by counts of hashed words, two lower bounds
 of the edit distance; pairs that neither excludes are candidates too.  So any two
@@ -52,6 +53,8 @@ from pyspark.sql import functions as F
 from relkit.llm.common import pick, ready, rows_of, with_row, written
 
 K, ELL, SKETCHES, SIMILAR, EXACT = 3, 2, 64, 0.8, 30
+#: Rounds end when no more than this share of the pairs they meet is linked.
+YIELD = 0.01
 #: Texts of a bucket that one task compares with one another, and counters of a text.
 BLOCK, COUNTERS = 1024, 128
 REMEMBERED = 1_000_000
@@ -369,10 +372,10 @@ def linked(keys: DataFrame, table: DataFrame) -> DataFrame:
         keys = members.select("key", "rep")
         pairs = written(met(members, turn), f"omh-pairs{turn}")
         new = written(verified(pairs, texts), f"omh-links{turn}")
-        if turn and new.isEmpty():
+        if turn and new.count() <= YIELD * pairs.count():
+            roots = written(merged(roots, new), "omh-roots")
             pairs = written(rest(members, table), "omh-rest")
-            new = written(verified(pairs, texts), "omh-links")
-            return roots if new.isEmpty() else merged(roots, new)
+            return merged(roots, written(verified(pairs, texts), "omh-links"))
         roots, turn = written(merged(roots, new), f"omh-roots{turn}"), turn + 1
 
 
