@@ -14,15 +14,16 @@ of four share a pair of words, which texts of so many words have as keys too.
 Texts above SIMILAR * EXACT words have the sketches, so that a pair has either
 the one or the other in common.
 
-Candidates: buckets of one text are dropped once and for all.  In rounds, each member of a bucket meets the first and the last of
-one order of all texts, a new order each round, unless they are of one class
-already; a bucket that has become one class is left out of the next round, new
-links extend the classes so far, and the rounds end when one links no more than
-YIELD of the pairs it meets.  In buckets that then hold
-texts of several classes, every pair of two classes is then tested, in blocks of
-at most BLOCK texts, by lengths and by counts of hashed words, two lower bounds
-of the edit distance; pairs that neither excludes are candidates too.  So any two
-texts of one bucket are in one class, aligned, or proved unlike.
+Candidates: buckets of one text are dropped once and for all.  In rounds, each text
+of the buckets of more than SMALL texts meets one hub of another class: of the
+buckets' first and last texts, in a new order each round, the one that it shares most
+buckets with.  New links extend the classes so far, a bucket that has become one class
+is left out, and the rounds end when one links no more than YIELD of the pairs it
+meets.  In the buckets that then hold several classes every pair of two classes is
+tested, small buckets as they are and larger ones in blocks of at most BLOCK texts.
+Lengths and counts of hashed words, two lower bounds of the edit distance, exclude
+pairs before any words are moved; all others are candidates.  So any two texts of one
+bucket are in one class, aligned, or proved unlike.
 
 Verification: every candidate pair is aligned word by word in the band that the
 similarity allows (bit-parallel, a band a column); similarity is 1 - edit
@@ -57,6 +58,8 @@ K, ELL, SKETCHES, SIMILAR, EXACT = 3, 2, 64, 0.8, 30
 YIELD = 0.01
 #: Texts of a bucket that one task compares with one another, and counters of a text.
 BLOCK, COUNTERS = 1024, 128
+#: Texts of a bucket whose pairs are listed without hubs.
+SMALL = 3
 REMEMBERED = 1_000_000
 WORD = re.compile(r"\w+")
 _rng = np.random.default_rng(2)
@@ -247,23 +250,55 @@ def shared_keys(table: DataFrame, reps: DataFrame) -> DataFrame:
                    "omh-buckets")
 
 
-def open_buckets(keys: DataFrame, roots: DataFrame, least: int) -> DataFrame:
-    """(key, n, rep, root) of the buckets of ``least`` texts and several classes."""
+def open_buckets(keys: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, n, rep, root) of the buckets that hold several classes."""
     flat = keys.join(roots, "rep", "left").select("rep", F.coalesce("root", "rep").alias("root"), "key")
     several = (flat.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"),
                                        F.max("root").alias("high"))
-               .where((F.col("low") != F.col("high")) & (F.col("n") >= least)).select("key", "n"))
+               .where("low != high").select("key", "n"))
     return flat.join(several, "key")
 
 
 def met(members: DataFrame, turn: int) -> DataFrame:
-    """(a, b), a < b: each member of a bucket with the bucket's first and last in
-    the order of this turn, if of another class."""
+    """(a, b), a < b: each text with one hub.  The hubs of a bucket are its first and
+    last text in the order of this turn; a text meets, of the hubs of its buckets that
+    are of another class, the one that it shares most of them with."""
     at = F.struct(F.xxhash64(F.lit(turn), "rep").alias("o"), "rep", "root")
     hubs = members.groupBy("key").agg(F.min(at).alias("first"), F.max(at).alias("last"))
-    pair = members.join(hubs, "key").select("rep", "root", F.explode(F.array("first", "last")).alias("c"))
-    return (pair.where(F.col("root") != F.col("c.root"))
-            .select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b")).distinct())
+    near = members.join(hubs, "key").select("rep", "root", F.explode(F.array("first", "last")).alias("c"))
+    shared = (near.where(F.col("root") != F.col("c.root")).groupBy("rep", F.col("c.rep").alias("hub"))
+              .agg(F.count(F.lit(1)).alias("n")))
+    best = shared.groupBy("rep").agg(F.max(F.struct("n", "hub")).alias("best"))
+    return best.select(F.least("rep", "best.hub").alias("a"), F.greatest("rep", "best.hub").alias("b")).distinct()
+
+
+def whole(members: DataFrame) -> DataFrame:
+    """(a, b), a < b: all pairs of two classes of the buckets of up to SMALL texts."""
+    m = (members.where(F.col("n") <= SMALL).groupBy("key")
+         .agg(F.sort_array(F.collect_list(F.struct("rep", "root"))).alias("m")))  # at most SMALL
+    two = F.flatten(F.transform("m", lambda x, i: F.transform(
+        F.slice("m", i + 2, SMALL), lambda y: F.struct(x["rep"].alias("a"), y["rep"].alias("b"),
+                                                       (x["root"] != y["root"]).alias("other")))))
+    return m.select(F.explode(two).alias("p")).where("p.other").select("p.a", "p.b").distinct()
+
+
+def likely(pairs: DataFrame, table: DataFrame) -> DataFrame:
+    """(a, b, like): whether lengths and counts leave a link possible, so that only
+    the words of such pairs are moved."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(c).to_numpy().astype(np.int64) for c in ("na", "nb"))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, COUNTERS).astype(np.int16)
+                    for c in ("ca", "cb"))
+            longer, d = np.maximum(n, m), x - y
+            least = np.maximum(np.maximum(d, 0).sum(axis=1), np.maximum(-d, 0).sum(axis=1))
+            like = np.maximum(least, np.abs(n - m)) <= ((1 - SIMILAR) * longer + 1e-9).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(like)], ["a", "b", "like"])
+
+    def end(c: str) -> DataFrame:
+        return table.select(F.col("rid").alias(c), F.col("n_words").alias(f"n{c}"), F.col("counts").alias(f"c{c}"))
+
+    return pairs.join(end("a"), "a").join(end("b"), "b").mapInArrow(run, "a bigint, b bigint, like boolean")
 
 
 def unlike(n: np.ndarray, counts: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
@@ -278,7 +313,8 @@ def unlike(n: np.ndarray, counts: np.ndarray, i: int, others: np.ndarray) -> np.
 
 
 def rest(members: DataFrame, table: DataFrame) -> DataFrame:
-    """(a, b), a < b: the pairs of a bucket that are of two classes and not unlike."""
+    """(a, b), a < b: the pairs of a larger bucket that are of two classes and not unlike."""
+    members = members.where(F.col("n") > SMALL)
     share = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep"), share).cast("int")
     m = members.select("key", "rep", "root", own.alias("own"), F.explode(F.sequence(F.lit(0), share - 1)).alias("j"))
@@ -364,18 +400,17 @@ def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
 def linked(keys: DataFrame, table: DataFrame) -> DataFrame:
     """(rep, root) of all texts that have a link, from the shared keys."""
     texts = table.select(F.col("rid").alias("rep"), "words")
-    roots, turn = keys.select("rep", F.col("rep").alias("root")).limit(0), 0
+    roots, turn, more = keys.select("rep", F.col("rep").alias("root")).limit(0), 0, True
     while True:
-        # a bucket of up to three was met whole in the first round; one that has
-        # become a single class is not looked at again
-        members = written(open_buckets(keys, roots, 4 if turn else 2), f"omh-open{turn}")
+        # a bucket that has become a single class is not looked at again
+        members = written(open_buckets(keys, roots), f"omh-open{turn}")
+        if not more:
+            pairs = likely(whole(members), table).where("like").select("a", "b").unionByName(rest(members, table))
+            return merged(roots, written(verified(written(pairs.distinct(), "omh-rest"), texts), "omh-links"))
         keys = members.select("key", "rep")
-        pairs = written(met(members, turn), f"omh-pairs{turn}")
-        new = written(verified(pairs, texts), f"omh-links{turn}")
-        if turn and new.count() <= YIELD * pairs.count():
-            roots = written(merged(roots, new), "omh-roots")
-            pairs = written(rest(members, table), "omh-rest")
-            return merged(roots, written(verified(pairs, texts), "omh-links"))
+        pairs = written(likely(met(members.where(F.col("n") > SMALL), turn), table), f"omh-pairs{turn}")
+        new = written(verified(pairs.where("like").select("a", "b"), texts), f"omh-links{turn}")
+        more = new.count() > YIELD * pairs.count()
         roots, turn = written(merged(roots, new), f"omh-roots{turn}"), turn + 1
 
 
