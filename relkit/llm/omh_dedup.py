@@ -22,8 +22,9 @@ is left out, and the rounds end when one links no more than YIELD of the pairs i
 meets.  In the buckets that then hold several classes every pair of two classes is
 tested, small buckets as they are and larger ones in blocks of at most BLOCK texts.
 Lengths and counts of hashed words, two lower bounds of the edit distance, exclude
-pairs before any words are moved; all others are candidates.  So any two texts of one
-bucket are in one class, aligned, or proved unlike.
+pairs before any words are moved; all others are candidates, aligned in SHARES, so
+that a large family of variants becomes one class before most of its pairs come up.
+So any two texts of one bucket are in one class, aligned, or proved unlike.
 
 Verification: every candidate pair is aligned word by word in the band that the
 similarity allows (bit-parallel, a band a column); similarity is 1 - edit
@@ -60,6 +61,8 @@ YIELD = 0.01
 BLOCK, COUNTERS = 1024, 128
 #: Texts of a bucket whose pairs are listed without hubs.
 SMALL = 3
+#: The last pairs are aligned in shares that end at these sixteenths.
+SHARES = (1, 4, 16)
 REMEMBERED = 1_000_000
 WORD = re.compile(r"\w+")
 _rng = np.random.default_rng(2)
@@ -397,6 +400,21 @@ def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     return moved.select("rep", F.coalesce("to", "root").alias("root")).unionByName(new)
 
 
+def extended(roots: DataFrame, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``roots`` after the links of ``pairs``, share by share: pairs whose texts the
+    shares before have brought into one class are not aligned any more."""
+    def root_of(c: str) -> DataFrame:
+        return roots.select(F.col("rep").alias(c), F.col("root").alias(f"root_{c}"))
+
+    share = F.pmod(F.xxhash64("a", "b"), F.lit(SHARES[-1]))
+    for low, high in zip((0, *SHARES), SHARES):
+        some = pairs.where((share >= low) & (share < high)).join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
+        some = some.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+        links = written(verified(written(some, "omh-share"), texts), "omh-links")
+        roots = written(merged(roots, links), "omh-roots")
+    return roots
+
+
 def linked(keys: DataFrame, table: DataFrame) -> DataFrame:
     """(rep, root) of all texts that have a link, from the shared keys."""
     texts = table.select(F.col("rid").alias("rep"), "words")
@@ -406,7 +424,7 @@ def linked(keys: DataFrame, table: DataFrame) -> DataFrame:
         members = written(open_buckets(keys, roots), f"omh-open{turn}")
         if not more:
             pairs = likely(whole(members), table).where("like").select("a", "b").unionByName(rest(members, table))
-            return merged(roots, written(verified(written(pairs.distinct(), "omh-rest"), texts), "omh-links"))
+            return extended(roots, written(pairs.distinct(), "omh-rest"), texts)
         keys = members.select("key", "rep")
         pairs = written(likely(met(members.where(F.col("n") > SMALL), turn), table), f"omh-pairs{turn}")
         new = written(verified(pairs.where("like").select("a", "b"), texts), f"omh-links{turn}")
