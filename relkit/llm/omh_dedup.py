@@ -58,7 +58,7 @@ K, ELL, SKETCHES, SIMILAR, EXACT = 3, 2, 64, 0.8, 30
 #: Rounds end when no more than this share of the pairs they meet is linked.
 YIELD = 0.01
 #: Texts of a bucket that one task compares with one another, and counters of a text.
-BLOCK, COUNTERS = 1024, 128
+BLOCK, COUNTERS = 1024, 512
 #: Texts of a bucket whose pairs are listed without hubs.
 SMALL = 3
 #: The last pairs are aligned in shares that end at these sixteenths.
