@@ -15,11 +15,11 @@ Texts above SIMILAR * EXACT words have the sketches, so that a pair has either
 the one or the other in common.
 
 Candidates: buckets of one text are dropped once and for all.  In rounds, each text
-of the buckets of more than SMALL texts meets one hub of another class: of the
-buckets' first and last texts, in a new order each round, the one that it shares most
+of the buckets of more than SMALL texts meets up to HUBS hubs of other classes: of the
+buckets' first and last texts, in a new order each round, those that it shares most
 buckets with.  New links extend the classes so far, a bucket that has become one class
 is left out, and the rounds end when one links no more than YIELD of the pairs it
-meets.  In the buckets that then hold several classes every pair of two classes is
+aligns.  In the buckets that then hold several classes every pair of two classes is
 tested, small buckets as they are and larger ones in blocks of at most BLOCK texts.
 Lengths and counts of hashed words, two lower bounds of the edit distance, exclude
 pairs before any words are moved; all others are candidates, aligned in SHARES, so
@@ -55,12 +55,14 @@ from pyspark.sql import functions as F
 from relkit.llm.common import pick, ready, rows_of, with_row, written
 
 K, ELL, SKETCHES, SIMILAR, EXACT = 3, 2, 64, 0.8, 30
-#: Rounds end when no more than this share of the pairs they meet is linked.
-YIELD = 0.01
+#: Rounds end when no more than this share of the pairs they align is linked.
+YIELD = 0.03
 #: Texts of a bucket that one task compares with one another, and counters of a text.
 BLOCK, COUNTERS = 1024, 512
 #: Texts of a bucket whose pairs are listed without hubs.
 SMALL = 3
+#: Hubs that a text meets in a round.
+HUBS = 8
 #: The last pairs are aligned in shares that end at these sixteenths.
 SHARES = (1, 4, 16)
 REMEMBERED = 1_000_000
@@ -263,16 +265,17 @@ def open_buckets(keys: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def met(members: DataFrame, turn: int) -> DataFrame:
-    """(a, b), a < b: each text with one hub.  The hubs of a bucket are its first and
-    last text in the order of this turn; a text meets, of the hubs of its buckets that
-    are of another class, the one that it shares most of them with."""
+    """(a, b), a < b: each text with up to HUBS hubs.  The hubs of a bucket are its first
+    and last text in the order of this turn; a text meets, of the hubs of its buckets
+    that are of another class, those that it shares most of them with."""
     at = F.struct(F.xxhash64(F.lit(turn), "rep").alias("o"), "rep", "root")
     hubs = members.groupBy("key").agg(F.min(at).alias("first"), F.max(at).alias("last"))
     near = members.join(hubs, "key").select("rep", "root", F.explode(F.array("first", "last")).alias("c"))
     shared = (near.where(F.col("root") != F.col("c.root")).groupBy("rep", F.col("c.rep").alias("hub"))
               .agg(F.count(F.lit(1)).alias("n")))
-    best = shared.groupBy("rep").agg(F.max(F.struct("n", "hub")).alias("best"))
-    return best.select(F.least("rep", "best.hub").alias("a"), F.greatest("rep", "best.hub").alias("b")).distinct()
+    ranked = F.sort_array(F.collect_list(F.struct("n", "hub")), False)  # at most two a key of the text
+    best = shared.groupBy("rep").agg(F.slice(ranked, 1, HUBS).alias("best")).select("rep", F.explode("best.hub").alias("hub"))
+    return best.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
 
 
 def whole(members: DataFrame) -> DataFrame:
@@ -428,7 +431,7 @@ def linked(keys: DataFrame, table: DataFrame) -> DataFrame:
         keys = members.select("key", "rep")
         pairs = written(likely(met(members.where(F.col("n") > SMALL), turn), table), f"omh-pairs{turn}")
         new = written(verified(pairs.where("like").select("a", "b"), texts), f"omh-links{turn}")
-        more = new.count() > YIELD * pairs.count()
+        more = new.count() > YIELD * pairs.where("like").count()
         roots, turn = written(merged(roots, new), f"omh-roots{turn}"), turn + 1
 
 
