@@ -8,7 +8,8 @@ the stream, and each document yields one record per window it touches, so a
 document over a border is told by two records that name its start and place.
 
 The only padding is that of the last sequence.  Rules: null or empty text is
-the end id alone; ids of any text are whole (nothing is truncated); repeated
+the end id alone; ids of any text are whole (nothing is truncated) and those of the
+tokenizer as it comes, so a special token spelled out in a text is its one id; repeated
 rows are packed as often as they come; an empty table packs to nothing; other
 columns are ignored.
 """
@@ -57,7 +58,6 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         # for pieces that are split and in lower case already
         self.bare = Tokenizer(self.tok.model)
         self.bare.pre_tokenizer = pre_tokenizers.Sequence(

@@ -105,7 +105,6 @@ def test_mix_meets_its_targets(documents):
 def test_packing_round_trip(spark, documents, texts):
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(packing.vocabulary())
-    tok.encode_special_tokens = True
     got = packing.pack(documents).collect()
     want = {i: np.array(tok.encode(t, add_special_tokens=False).ids + [1], "<u4") for i, t in texts.items()}
     pieces, sequences = defaultdict(list), defaultdict(list)
@@ -129,6 +128,18 @@ def test_packing_round_trip(spark, documents, texts):
         assert at == 2048 or s == last
 
 
+def test_special_tokens_in_texts():
+    """Spelled-out special tokens, alone, glued to words and across blanks, as the tokenizer takes them."""
+    from tokenizers import Tokenizer
+    tok, rng = Tokenizer.from_file(packing.vocabulary()), random.Random(8)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|endoftext |>", "<|", "|>", "word", "É", "e\u0301",
+             " ", "\n", ".", "7", "don't", "ﬁ", "\u00a0"]
+    texts = ["a <|endoftext|> b", *("".join(rng.choices(parts, k=rng.randrange(9))) for _ in range(3000))]
+    got = packing.Encoder(packing.vocabulary()).encode(texts)
+    assert got == [np.array(tok.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
+    assert len(got[0]) == 6
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
