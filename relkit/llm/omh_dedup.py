@@ -19,7 +19,7 @@ of the buckets of more than SMALL texts meets up to HUBS hubs of other classes:
 buckets' first and last texts, in a new order each round, those that it shares most
 buckets with.  New links extend the classes so far, a bucket that has become one class
 is left out, and the rounds end when one links no more than YIELD of the pairs it
-aligns.  In the buckets that then hold several classes every pair of two classes is
+aligns, or after ROUNDS.  In the buckets that then hold several classes every pair of two classes is
 tested, small buckets as they are and larger ones in blocks of at most BLOCK texts.
 Lengths and counts of hashed words, two lower bounds of the edit distance, exclude
 pairs before any words are moved; all others are candidates, aligned in SHARES, so
@@ -61,8 +61,8 @@ YIELD = 0.03
 BLOCK, COUNTERS = 1024, 512
 #: Texts of a bucket whose pairs are listed without hubs.
 SMALL = 3
-#: Hubs that a text meets in a round.
-HUBS = 8
+#: Hubs that a text meets in a round, and rounds at most; all that they leave open is tested after them.
+HUBS, ROUNDS = 8, 4
 #: The last pairs are aligned in shares that end at these sixteenths.
 SHARES = (1, 4, 16)
 REMEMBERED = 1_000_000
@@ -431,7 +431,7 @@ def linked(keys: DataFrame, table: DataFrame) -> DataFrame:
         keys = members.select("key", "rep")
         pairs = written(likely(met(members.where(F.col("n") > SMALL), turn), table), f"omh-pairs{turn}")
         new = written(verified(pairs.where("like").select("a", "b"), texts), f"omh-links{turn}")
-        more = new.count() > YIELD * pairs.where("like").count()
+        more = turn + 1 < ROUNDS and new.count() > YIELD * pairs.where("like").count()
         roots, turn = written(merged(roots, new), f"omh-roots{turn}"), turn + 1
 
 
