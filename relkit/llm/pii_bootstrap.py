@@ -2,12 +2,13 @@
 
 The seeds' surroundings induce lexical patterns: the two words before, the two
 words behind, and one on each side.  Patterns and the identifiers found in them
-form a graph over all documents, scored in Spark round by round: a pattern is
-as reliable as the mean score of its identifiers, shrunk by a fixed number of
-pseudo-observations; an identifier is as likely as its reliable patterns make
-it together (noisy or); seeds stay certain for their own kind and impossible for
-others.  Identifiers of a fitting form that reliable patterns surround, and that
-no fixed pattern covers, are added as ``found_<kind>``.
+form a graph over all documents, scored in Spark round by round: a pattern with
+enough known identifiers is as reliable as their share of all it surrounds, shrunk
+by a fixed number of pseudo-observations; an identifier is as likely as its admitted
+patterns make it together (noisy or), and a likely one is known from then on and
+supports further patterns, until nothing is added.  Known identifiers of a fitting
+form that a reliable pattern surrounds, and that no fixed pattern covers, are added
+as ``found_<kind>``.
 
 The graph's edges are distinct (pattern, identifier) pairs, counted with partial
 aggregation, so a pattern with a third of all occurrences is no hot task and
@@ -49,8 +50,7 @@ FORMS = (
 )
 WORD = re.compile(r"\w+")
 CONTEXT = 48  # code points on each side in which the two words are looked for
-ROUNDS = 3
-#: A pattern needs so many certain identifiers; pseudo-observations; thresholds.
+#: A pattern needs so many known identifiers; pseudo-observations; thresholds.
 SUPPORT, SHRINK, RELIABLE, LIKELY = 4, 1.0, 0.75, 0.75
 
 
@@ -152,30 +152,38 @@ def reader():
     return read
 
 
-def scored(edges: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """(pattern, kind, p) and (identifier, kind, p) from distinct (pattern,
-    identifier, kind, seed), where seed tells that a fixed pattern found it.
-
-    An identifier's own kind is that of its form.  Each round: p(pattern, kind) =
-    sum of p over its identifiers of the kind / (all its identifiers + SHRINK);
-    p(identifier) = 1 - prod(1 - p(pattern)) over patterns with SUPPORT seeds."""
-    size = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("size"))
-    support = (edges.where("seed").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("support"))
-               .where(F.col("support") >= SUPPORT))
-    # only patterns that seeds support matter to anything else
-    graph = edges.join(support.join(size, "pattern"), ["pattern", "kind"]).checkpoint()
-    identifiers = graph.select("identifier", "kind", "seed").distinct().withColumn("p", F.col("seed").cast("double"))
-    patterns = None
-    for _ in range(rounds):
-        patterns = (graph.join(identifiers.select("identifier", "kind", "p"), ["identifier", "kind"])
-                    .groupBy("pattern", "kind", "size").agg(F.sum("p").alias("s"))
-                    .select("pattern", "kind", (F.col("s") / (F.col("size") + SHRINK)).alias("p")))
-        likely = F.lit(1.0) - F.exp(F.sum(F.log(F.greatest(F.lit(1.0) - F.col("p"), F.lit(1e-12)))))
-        identifiers = (graph.join(patterns.withColumn("p", F.when(F.col("p") >= RELIABLE / 2, F.col("p")).otherwise(0.0)),
-                                  ["pattern", "kind"])
-                       .groupBy("identifier", "kind", "seed").agg(likely.alias("p"))
-                       .withColumn("p", F.when(F.col("seed"), 1.0).otherwise(F.col("p")))).checkpoint()
-    return patterns, identifiers
+def scored(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pattern, kind, p) of the admitted patterns and (identifier, kind) of what is
+    known, from (pattern, identifier, kind, seed) of the occurrences, where seed
+    tells that a fixed pattern found it.
+
+    The seeds are known first.  Each round counts every pattern's support anew, the
+    known identifiers of the kind: with SUPPORT of them, p(pattern, kind) = support /
+    (all its identifiers + SHRINK), and from RELIABLE / 2 on the pattern is admitted.
+    p(identifier) = 1 - prod(1 - p(pattern)) over admitted patterns; from LIKELY on it
+    is known and supports patterns in the next round.  What is known only grows, so
+    the rounds end exactly when its number stays."""
+    edges = edges.groupBy("pattern", "identifier", "kind").agg(F.max("seed").alias("seed"))
+    counts = edges.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("n"))
+    size = counts.groupBy("pattern").agg(F.sum("n").alias("size"))
+    # a pattern of fewer identifiers than SUPPORT can never be admitted
+    enough = counts.where(F.col("n") >= SUPPORT).join(size, "pattern").drop("n")
+    seeds = written(edges.where("seed").select("identifier", "kind").distinct(), "pii-seeds")
+    graph = written(edges.join(enough, ["pattern", "kind"]).drop("seed"), "pii-graph")
+    likely = F.lit(1.0) - F.exp(F.sum(F.log(F.lit(1.0) - F.col("p"))))  # p is below 1 by SHRINK
+    known, n = seeds, seeds.count()
+    while True:
+        patterns = written(
+            graph.join(known, ["identifier", "kind"], "left_semi").groupBy("pattern", "kind", "size")
+            .agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= SUPPORT)
+            .select("pattern", "kind", (F.col("support") / (F.col("size") + SHRINK)).alias("p"))
+            .where(F.col("p") >= RELIABLE / 2), "pii-patterns")
+        found = (graph.join(patterns, ["pattern", "kind"]).groupBy("identifier", "kind")
+                 .agg(F.round(likely, 9).alias("p")).where(F.col("p") >= LIKELY).drop("p"))
+        known, before = written(seeds.unionByName(found).distinct(), "pii-known"), n
+        n = known.count()
+        if n == before:
+            return patterns, known
 
 
 def discovered(rows: DataFrame) -> DataFrame:
@@ -183,10 +191,10 @@ def discovered(rows: DataFrame) -> DataFrame:
     found = rows.select("rid", F.explode("found").alias("f")).select("rid", "f.*")
     flat = found.select("rid", "start", "end", "kind", "seed", F.sha2("identifier", 256).alias("identifier"),
                         F.explode("patterns").alias("pattern"))
-    patterns, identifiers = scored(flat.select("pattern", "identifier", "kind", "seed").distinct())
+    patterns, known = scored(flat.select("pattern", "identifier", "kind", "seed"))
     return (flat.where(~F.col("seed"))
             .join(patterns.where(F.col("p") >= RELIABLE).select("pattern", "kind"), ["pattern", "kind"])
-            .join(identifiers.where(F.col("p") >= LIKELY).select("identifier", "kind"), ["identifier", "kind"])
+            .join(known, ["identifier", "kind"], "left_semi")
             .select("rid", "start", "end", "kind").distinct())
 
 

@@ -203,6 +203,63 @@ def test_private_data_by_context(spark):
     assert got[99].n_found == 1 and "found_email:16:" in got[99].spans and got[1].n_email == 1
 
 
+def plain_known(found):
+    """(identifier, kind) of the fixed point, and the reliable patterns, from (pattern, identifier, kind, seed)."""
+    known = {(i, k) for _, i, k, seed in found if seed}
+    of = defaultdict(set)
+    for p, i, k, _ in found:
+        of[p].add((i, k))
+    while True:
+        admitted = {}
+        for p, members in of.items():
+            for kind in {k for _, k in members}:
+                n = sum(k == kind and (i, k) in known for i, k in members)
+                if n >= pii_bootstrap.SUPPORT and n / (len(members) + pii_bootstrap.SHRINK) >= pii_bootstrap.RELIABLE / 2:
+                    admitted[p, kind] = n / (len(members) + pii_bootstrap.SHRINK)
+        miss = defaultdict(lambda: 1.0)
+        for (p, kind), x in admitted.items():
+            for i, k in of[p]:
+                if k == kind:
+                    miss[i, k] *= 1 - x
+        more = known | {e for e, m in miss.items() if 1 - m >= pii_bootstrap.LIKELY - 1e-9}
+        if more == known:
+            return known, {e for e, x in admitted.items() if x >= pii_bootstrap.RELIABLE}
+        known = more
+
+
+def test_found_identifiers_induce_patterns(spark):
+    """Finds of a seeded context make a second context known, and that a third one."""
+    docs = []
+
+    def add(text):
+        docs.append((len(docs) + 1, text, "en", "s"))
+        return len(docs)
+
+    def hidden(i):
+        return f"name{i}(at)host{i}"
+
+    for i in range(40):
+        add(f"you can contact me at person{i}@mail{i}.org or so they say {i}")
+    for i in range(12):
+        add(f"you can contact me at {hidden(i)} or so they say {i}")
+        add(f"the parcel was forwarded towards {hidden(i)} before noon passed {i}")
+    second = add(f"the parcel was forwarded towards {hidden(99)} before noon passed")
+    for i in (*range(8), 99):
+        add(f"quarterly invoices belong under {hidden(i)} unless refunded early {i}")
+    third = add(f"quarterly invoices belong under {hidden(77)} unless refunded early")
+    alone = add(f"nobody ever wrote towards {hidden(55)} in any known context")
+    got = {r.doc_id: r for r in pii_bootstrap.personal(table(spark, docs)).collect()}
+    for i, text, _, _ in docs:
+        assert got[i].n_found == ("(at)" in text and i != alone), text
+    assert got[second].n_found and got[third].n_found
+    occurring = {i: pii_bootstrap.occurrences(t, pii_bootstrap.base_spans(t)) for i, t, _, _ in docs}
+    known, reliable = plain_known({(p, x[4], x[2], x[3]) for xs in occurring.values() for x in xs for p in x[5]})
+    for i, xs in occurring.items():
+        want = {f"found_{x[2]}:{x[0]}:{x[1]}" for x in xs
+                if not x[3] and (x[4], x[2]) in known and any((p, x[2]) in reliable for p in x[5])}
+        assert {s for s in got[i].spans.split(",") if s.startswith("found_")} == want
+
+
 def test_edited_texts(documents, texts):
     got = {r.doc_id: r for r in syncmers.fingerprints(documents).collect()}
     order = sorted(texts, reverse=True)
