@@ -1,12 +1,15 @@
 """Secrets: fixed patterns, and long tokens told from ordinary identifiers by the
 log-likelihood ratio of two character Markov models.
 
-The model of random strings learns from strings drawn at random over the usual
-alphabets of keys; the model of ordinary identifiers from the words of a bounded
-sample of documents, as they stand, in upper case and title case, and joined as
-identifiers are (``a_b``, ``a-b``, ``aB``, ``a/b``).  A token that no fixed pattern
-covers is a secret when the ratio a character exceeds the threshold, which is
-set on the labelled sample itself.
+Both models learn from labelled samples of the whole corpus.  Random strings are the
+values that the fixed patterns find, and strings drawn over the usual alphabets of
+keys, so that an alphabet the corpus lacks is known too.  Ordinary ones are the
+commonest tokens of all documents, digits included, that are too short to be judged
+and no value of a fixed pattern: as they stand, in upper case and title case, and
+joined as identifiers are (``a_b``, ``a-b``, ``aB``, ``a/b``); and dates and times.  Half of
+each class trains.  A token that no fixed pattern covers is a secret when the ratio a
+character exceeds the threshold, which the held-back halves set; ``Ratio.recall`` and
+``Ratio.alarms`` are the shares of these that exceed it.
 
 Spans are code points, end exclusive.  Rules: null text is empty and has no
 spans; whole texts are read; without documents to learn from no token is added
@@ -18,13 +21,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relkit.llm.common import Covered, pick, ready
+from relkit.llm.common import Covered, pick, ready, written
 
 KINDS = ("assign", "access", "hex", "markov")
 #: Fixed patterns.
@@ -37,8 +41,11 @@ ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 6, 20, 24
 #: Tokens that the models judge.
 LONG = re.compile(r"(?<!\S)\S{16,}")
 TOKEN = re.compile(r"(?<![\w+/=-])[A-Za-z0-9+/_=-]{16,}(?![\w+/=-])")
-#: Bounds of the training sample: documents, identifiers, random strings.
-DOCUMENTS, IDENTIFIERS, STRINGS = 1500, 60_000, 6_000
+#: Bounds of the training sample: identifiers; random strings drawn, and as many of the
+#: corpus (of the smallest hashes), of which PART characters are learned from.
+IDENTIFIERS, STRINGS, PART = 60_000, 6_000, 64
+#: Tokens below the length that is judged.
+SHORT = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{2,15}(?![A-Za-z0-9+/_=-])"
 SEED = 5
 ALPHABETS = {
     "hex": "0123456789abcdef",
@@ -49,9 +56,12 @@ ALPHABETS = {
     "base 64": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/",
     "url base 64": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz-_",
 }
-#: Nats a character that a secret needs at least, and the share of ordinary
-#: identifiers that may exceed the threshold.
-LEAST_RATIO, ERROR = 0.7, 1e-4
+#: The threshold lets at most the first share of the held-back ordinary class pass, and
+#: lies no lower than needed to keep all but the second share of the held-back strings.
+ERROR, MISSED = 1e-4, 0.01
+#: Dates and times drawn for the ordinary class, in these forms.
+STAMPS = 6_000
+FORMS = ("%Y-%m-%dT%H-%M-%SZ", "%Y%m%dT%H%M%SZ", "%Y/%m/%d/%H-%M-%S", "%Y-%m-%d_%H%M%S")
 
 
 class Markov:
@@ -73,11 +83,15 @@ class Ratio:
     """Log-likelihood ratio a character of random string to identifier."""
 
     def __init__(self, identifiers: list[str], strings: list[str]):
-        half = len(identifiers) // 2  # one half trains, the other sets the threshold
-        random, plain = Markov(strings), Markov(identifiers[:half] or identifiers)
+        # one half of each trains, the other one sets the threshold and measures
+        plain = Markov(identifiers[::2])
+        random = Markov(strings[::2])
         self.log = random.log - plain.log
-        judged = [self.of(x) for x in identifiers[half:] if len(x) >= 16]
-        self.least = max(LEAST_RATIO, float(np.quantile(judged, 1 - ERROR)) if judged else np.inf)
+        judged = [self.of(x) for x in identifiers[1::2] if len(x) >= 16]
+        values = [self.of(x) for x in strings[1::2] if len(x) >= 16]
+        self.least = float(max(np.quantile(judged, 1 - ERROR), np.quantile(values, MISSED))) if judged and values else np.inf
+        self.recall = float(np.mean(np.array(values) > self.least)) if values else None
+        self.alarms = float(np.mean(np.array(judged) > self.least)) if judged else None
 
     def of(self, token: str) -> float:
         c = np.frombuffer(("\0" + token).encode("ascii"), np.uint8)
@@ -98,12 +112,18 @@ def random_strings(n: int) -> list[str]:
     return out
 
 
+def stamps(n: int) -> list[str]:
+    """Dates and times as names of files and versions hold them."""
+    at = np.random.default_rng(SEED).integers(0, 4_000_000_000, n)
+    return [datetime.fromtimestamp(int(t), UTC).strftime(FORMS[i % len(FORMS)]) for i, t in enumerate(at)]
+
+
 def identifiers(words: list[str]) -> list[str]:
-    """Ordinary identifiers made of words, labelled as such."""
+    """Ordinary identifiers made of words, and dates and times, labelled as such."""
     rng = np.random.default_rng(SEED)
     if not words:
         return []
-    out = [f(w) for w in words for f in (str, str.upper, str.title)]
+    out = stamps(STAMPS) + [f(w) for w in words for f in (str, str.upper, str.title)]
     for i in range(min(IDENTIFIERS - len(out), 8 * len(words)) if len(out) < IDENTIFIERS else 0):
         few = [words[j] for j in rng.integers(0, len(words), int(rng.integers(2, 6)))]
         out.append((lambda: "_".join(few), lambda: "-".join(few), lambda: "/".join(few),
@@ -113,18 +133,36 @@ def identifiers(words: list[str]) -> list[str]:
     return out
 
 
+def values(text: str) -> set[str]:
+    """What the fixed patterns find, of each the first PART characters; of an
+    assignment its value."""
+    found = scan(text, None)
+    return {(ASSIGN.match(text, s).group(2) if kind == 0 else text[s:e])[:PART] for s, kind, e in found}
+
+
+def sample(docs: DataFrame) -> tuple[list[str], list[str]]:
+    """(ordinary tokens, values of the fixed patterns) of all documents.  Whole texts
+    are read; only the two bounded samples come to the driver."""
+    @F.pandas_udf("array<string>")
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([sorted(values(t)) for t in texts.fillna("")], dtype=object)
+
+    d = pick(docs, text="string")
+    labelled = written(d.select(F.explode(found("text")).alias("w")).distinct(), "secret-values")
+    tokens = (d.select(F.explode(F.regexp_extract_all("text", F.lit(SHORT), F.lit(0))).alias("w"))
+              .groupBy("w").count().join(labelled, "w", "left_anti")
+              .groupBy(F.lower("w").alias("w")).agg(F.sum("count").alias("n")))
+    common = tokens.orderBy(F.desc("n"), "w").limit(IDENTIFIERS // 4).collect()
+    few = labelled.orderBy(F.xxhash64("w"), "w").limit(STRINGS).collect()
+    return [r.w for r in common], [r.w for r in few]
+
+
 def fit(docs: DataFrame) -> Ratio:
-    """Words of the DOCUMENTS documents with the smallest id hash, sorted; words
-    that hold digits stay out, so secrets in the sample teach nothing."""
-    d = pick(docs, doc_id="bigint", text="string")
-    ids = d.select(F.xxhash64("doc_id").alias("h")).distinct().orderBy("h").limit(DOCUMENTS)
-    cut = ids.agg(F.max("h").alias("cut")).first().cut
-    if cut is None:
-        return Ratio([], random_strings(STRINGS))
-    words = (d.where(F.xxhash64("doc_id") <= cut)
-             .select(F.explode(F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9])[A-Za-z]{2,24}(?![A-Za-z0-9])"), F.lit(0))).alias("w"))
-             .groupBy(F.lower("w").alias("w")).count().orderBy(F.desc("count"), "w").limit(IDENTIFIERS // 4).collect())
-    return Ratio(identifiers([r.w for r in words]), random_strings(STRINGS))
+    ordinary, found = sample(docs)
+    strings = random_strings(STRINGS) + [x for x in found if len(x) >= 16]
+    np.random.default_rng(SEED).shuffle(strings)
+    return Ratio(identifiers(ordinary), strings)
 
 
 def scan(text: str, model: Ratio | None) -> list[tuple[int, int, int]]:

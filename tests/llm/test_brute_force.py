@@ -194,6 +194,26 @@ def test_secrets_beyond_the_patterns(spark):
     assert got[100].spans == "markov:7:47" and got[101].n_markov == 0
 
 
+def test_secrets_learn_from_the_corpus(spark):
+    """Both classes come from all documents; held-out values are told from held-out identifiers."""
+    docs = read(spark, "/root/testdata/sf0.01", "documents")
+    ordinary, found = secret_scan.sample(docs)
+    texts = [r.text or "" for r in docs.select("text").collect()]
+    want = {v for t in texts for v in secret_scan.values(t)}
+    assert sorted(found) == sorted(want) and len(want) < secret_scan.STRINGS
+    count = defaultdict(int)
+    for t in texts:
+        for w in re.findall(secret_scan.SHORT, t):
+            if w not in want:
+                count[w.lower()] += 1
+    assert ordinary == sorted(count, key=lambda w: (-count[w], w))[:secret_scan.IDENTIFIERS // 4]
+    model = secret_scan.fit(docs)
+    assert model.recall > 0.98 and model.alarms < 0.001
+    for x in ("2024-01-15T10-22-33-000Z", "xmlHttpRequestQueueBuilder", "getUserByIdAndNameOrEmail",
+              "niezapomniane-przygody-dzieci"):
+        assert not model.secret(x)
+
+
 def test_private_data_by_context(spark):
     """Contexts of certain addresses find what no fixed pattern covers."""
     docs = [(i, f"{prose(i, 9)} please write to user{i}@mail{i}.org before friday {prose(i + 1, 9)}", None, None)
