@@ -98,3 +98,16 @@ def test_cut_comes_before_shrink(spark):
     got = [r[0] for r in df.select(pv.attempt_prompt(F.col("p"), F.col("s"), F.col("counted"), 0, 7, 1)).collect()]
     assert got == ["a b c d", "a b c d e f", "a b"]
     assert set(pv.VARIANTS) >= {"A_split_graded", "fields_binary"} and len(pv.VARIANTS) == 10
+
+
+def test_table_json_of_plain_cells(spark):
+    tables = [[["a b", "1-2"], []], [], [["", "~"]], [["x", None]], [["a'#[]"], ["\\"]]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(tables)], "i int, r array<array<string>>")
+    got = [r[0] for r in df.orderBy("i").select(pr.table_json("r")).collect()]
+    assert got == [json.dumps(t).encode("unicode-escape").decode() for t in tables]
+
+
+def test_fixed_system_messages_are_counted_with_the_plan(spark):
+    rows = spark.range(1).select(F.inline(pv.variant_array()))
+    got = rows.select("variant", "on_topic", "system_tokens", pr.token_count("system").alias("n")).collect()
+    assert len(got) == len(pv.VARIANTS) and all(r.system_tokens == r.n for r in got)

@@ -38,3 +38,16 @@ def test_catchall_skips_nulls_and_strip_nul(spark):
                   .alias("all")).first()
     assert r.s == "xy"
     assert r["all"] == "c x\u0000y p t"
+
+
+def test_clean_with_and_without_empty_cells(spark):
+    """A full list as long as the first keeps every position; a shorter one does not."""
+    rows = [(1, [["", "a"], ["x", "y"]], 0), (2, [["", "a", ""], ["x", "y"]], 0), (3, [["a"], ["", "b"]], 0),
+            (4, [["", None], ["", None]], 0)]
+    out = {r["id"]: r["clean"] for r in _run(spark, rows)}
+    assert out == {1: [["", "a"], ["x", "y"]], 2: [["", "a"], ["x", "y"]], 3: [["a"], ["", "b"]], 4: [[None], [None]]}
+
+
+def test_nul_leaves_cells(spark):
+    df = spark.createDataFrame([([["a\x00b", None], ["\x00"]],), ([["a"], None],), (None,)], "r array<array<string>>")
+    assert [r[0] for r in df.select(rel.strip_nul_cells("r")).collect()] == [[["ab", None], [""]], [["a"], None], None]
