@@ -153,3 +153,51 @@ def test_t_test_and_sensitivity(spark):
     assert st[("a", "c")].t == float("-inf")
     s = sy.sensitivity(long, []).first()
     assert (s.n_pairs, s.n_significant) == (3, 2) and s.sensitivity == pytest.approx(0.67)
+
+
+def test_long_and_short_documents_have_the_same_postings(spark, monkeypatch):
+    docs = spark.createDataFrame([("a", "x y x", "y z"), ("b", "", None), ("c", "z", "Z, z x")],
+                                 "docno string, title string, body string")
+
+    def built():
+        return sorted((r.docno, r.term, sorted(r.tfs.items()), sorted(r.lens.items()))
+                      for r in fi.FieldIndex.build(docs, ["title", "body"]).postings.collect())
+
+    short = built()
+    monkeypatch.setattr(fi, "SHORT", 0)
+    assert short == built()
+    assert short[0] == ("a", "x", [("title", 2)], [("body", 2), ("title", 3)])
+
+
+def _exchanges(df):
+    """The keys by which a frame's rows are dealt."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line.split("hashpartitioning(")[1].split(")")[0] for line in plan.splitlines() if "hashpartitioning(" in line]
+
+
+def test_pairs_of_topic_and_document_are_not_shuffled(spark, tmp_path):
+    """They are summed where the postings of their document were dealt."""
+    from relkit.plans import fixtures as fx
+    docs = spark.createDataFrame([("a", "x y"), ("b", "x"), ("c", "z")], "docno string, text string")
+    topics = spark.createDataFrame([(1, "x y"), (2, "z")], "qid int, query string")
+    index = store(TextIndex.build(docs), str(tmp_path), stop_percent=100)
+    scored = rk.score(index, rk.indexed_terms(index, rk.query_terms(topics)), ["BM25"])
+    fields = fi.FieldIndex.build(docs, ["text"])
+    by_field = fi.score_fields(fields, rk.query_terms(topics), {"text": 1.0})
+    overlap = fx.spark_pair_overlap(spark, "/root/testdata/sf0.001")
+    for df in (scored, by_field, overlap):
+        assert _exchanges(df) and not any("qid" in keys and "doc" in keys for keys in _exchanges(df))
+
+
+def test_floors_leave_the_best(spark, tmp_path):
+    """With a bound from one in several documents the ranking is that without it, ties too."""
+    docs = spark.createDataFrame([(f"d{i:03}", " ".join(["x"] * (i % 7 + 1) + ["y"] * (i % 5))) for i in range(300)],
+                                 "docno string, text string")
+    topics = spark.createDataFrame([(1, "x"), (2, "y x"), (3, "none")], "qid int, query string")
+    index = store(TextIndex.build(docs), str(tmp_path), stop_percent=100)
+    models, k = ["BM25", "Tf", "Dl", "DPH"], 4
+    plain = rk.rank(rk.score(index, rk.indexed_terms(index, rk.query_terms(topics)), models), models, k)
+    bound = rk.retrieve(index, topics, models, k)
+    assert "floors" in bound._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(bound.collect()) == sorted(plain.collect())
+    assert bound.count() == 2 * len(models) * k
