@@ -30,9 +30,11 @@ def evaluate(ranked: DataFrame, qrels: DataFrame, topics: DataFrame,
     without re-ranking (the label set is a column).  Only relevant retrieved
     rows carry information for AP, P@k and DCG, so the run is inner-joined
     with the positive judgements; the cumulative count runs over those rows
-    (at most k per topic and model)."""
+    (at most k per topic and model).  The run is bounded by topics, models and k,
+    the judgements grow with the corpus: each task hashes its part of the run, and
+    the judgements are neither broadcast nor sorted."""
     pos = qrels.where(F.col("label") > 0).select("label_set", "qid", "docno", "label")
-    j = ranked.select("qid", "model", "docno", "rank").join(pos, ["qid", "docno"])
+    j = ranked.select("qid", "model", "docno", "rank").hint("shuffle_hash").join(pos, ["qid", "docno"])
     w = (Window.partitionBy("label_set", "qid", "model").orderBy("rank")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     j = j.withColumn("_cum", F.count(F.lit(1)).over(w))
@@ -43,22 +45,23 @@ def evaluate(ranked: DataFrame, qrels: DataFrame, topics: DataFrame,
         aggs.append(F.sum(F.when(F.col("rank") <= k, F.col("label") / disc).otherwise(0.0)).alias(f"_dcg_{k}"))
     per_run = j.groupBy("label_set", "qid", "model").agg(*aggs)
 
-    # per topic: number of relevant docs and ideal DCG@k (top-k labels only:
-    # WindowGroupLimit keeps the partial sort bounded even for a huge topic)
+    # per topic: number of relevant docs and ideal DCG@k, from the number of docs with each
+    # label: one pass over the judgements, of each label no more than the largest cutoff is ranked
     kmax = max(cutoffs)
-    wq = Window.partitionBy("label_set", "qid").orderBy(F.col("label").desc(), F.col("docno"))
-    top = pos.withColumn("_i", F.row_number().over(wq)).where(F.col("_i") <= kmax)
-    ideal = top.groupBy("label_set", "qid").agg(*[
+    per_label = pos.groupBy("label_set", "qid", "label").agg(F.count(F.lit(1)).alias("_n"))
+    wq = Window.partitionBy("label_set", "qid")
+    same = F.array_repeat("label", F.least("_n", F.lit(kmax)).cast("int"))
+    top = per_label.withColumn("_R", F.sum("_n").over(wq)).select("label_set", "qid", "_R", F.explode(same).alias("label"))
+    top = top.withColumn("_i", F.row_number().over(wq.orderBy(F.col("label").desc())))
+    ideal = top.groupBy("label_set", "qid").agg(F.max("_R").alias("_R"), *[
         F.sum(F.when(F.col("_i") <= k, F.col("label") / F.log2(F.col("_i") + 1.0)).otherwise(0.0))
         .alias(f"_idcg_{k}") for k in cutoffs])
-    n_rel = pos.groupBy("label_set", "qid").agg(F.count(F.lit(1)).alias("_R"))
 
     # every (label_set, topic, model): label sets and models are literal lists
     grid = topics.select("qid").distinct() \
         .select("qid", F.explode(F.array(*[F.lit(s) for s in label_sets])).alias("label_set")) \
         .select("qid", "label_set", F.explode(F.array(*[F.lit(m) for m in models])).alias("model"))
     out = (grid.join(per_run, ["label_set", "qid", "model"], "left")
-           .join(n_rel, ["label_set", "qid"], "left")
            .join(ideal, ["label_set", "qid"], "left"))
     cols = [F.coalesce(F.try_divide(F.col("_ap_num"), F.col("_R").cast("double")), F.lit(0.0)).alias("map")]
     for k in cutoffs:

@@ -201,3 +201,39 @@ def test_floors_leave_the_best(spark, tmp_path):
     assert "floors" in bound._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(bound.collect()) == sorted(plain.collect())
     assert bound.count() == 2 * len(models) * k
+
+
+def test_each_model_is_computed_inside_its_sum(spark, tmp_path):
+    """No projection holds the formulas of all models: as one method they are too long to be compiled."""
+    docs = spark.createDataFrame([("a", "x y"), ("b", "y z")], "docno string, text string")
+    topics = spark.createDataFrame([(1, "x y")], "qid int, query string")
+    index = store(TextIndex.build(docs), str(tmp_path), stop_percent=100)
+    scores = rk.score(index, rk.indexed_terms(index, rk.query_terms(topics)))
+    plan = scores._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    holders = [line.strip(" :+-").split(" ")[0] for line in plan if "LOG2" in line.upper()]
+    assert holders == ["Aggregate"]
+
+
+def test_scores_in_units_are_rounded_as_by_round(spark):
+    from pyspark.sql import functions as F
+    values = [0.0, -0.0, 2.5e-10, -2.5e-10, 1.49e-10, -1.51e-10, 12.345678901250, -7.1234567890049, 2e5, 7e8, -7e8, None]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    old = F.round(F.col("v") * rk.UNITS).cast("bigint")
+    assert [a == b for a, b in df.select(old, rk.units(F.col("v"))).collect()] == [True] * len(values)
+
+
+def test_judgements_are_not_broadcast(spark):
+    """They grow with the corpus; the run is bounded and is what each task hashes.  The number of
+    relevant documents and the ideal list come from one aggregation of them."""
+    ranked = spark.createDataFrame([(1, "M", f"d{i}", i) for i in range(1, 6)],
+                                   "qid int, model string, docno string, rank int")
+    rows = [("h", 1, f"d{i}", 1 + (i % 7 == 0)) for i in range(2, 40, 2)] + [("h", 1, "d3", 0)]
+    qrels = spark.createDataFrame(rows, "label_set string, qid int, docno string, label int")
+    out = ev.evaluate(ranked, qrels, spark.createDataFrame([(1,)], "qid int"), ["M"], ["h"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin [qid" in plan
+    got = out.first()
+    assert got.map == pytest.approx((1 / 2 + 2 / 4) / 19)
+    gains = [2, 2] + [1] * 17                          # d14 and d28 have label 2
+    ideal = sum(g / math.log2(i + 2) for i, g in enumerate(gains[:10]))
+    assert got.ndcg_cut_10 == pytest.approx((1 / math.log2(3) + 1 / math.log2(5)) / ideal)
