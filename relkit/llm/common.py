@@ -71,6 +71,27 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
+    """``written`` in buckets of ``key``, as many as there are shuffle partitions: joins on
+    ``key`` deal out the other side only.  A table of the session's catalog, its files in the
+    shared folder; ``df`` is to be dealt by ``dealt`` before."""
+    spark = df.sparkSession
+    lean(spark)
+    name = f"relkit_{label}_{uuid.uuid4().hex}".replace("-", "_")
+    (df.write.bucketBy(shuffle_partitions(spark), key).option("compression", "zstd")
+     .option("path", scratch(spark, label)).saveAsTable(name))
+    return spark.table(name)
+
+
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """``df`` in the partitions of the buckets of ``key``."""
+    return df.repartition(shuffle_partitions(df.sparkSession), key)
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def remainder(doc_id: Column, mod: int) -> Column:
     """crc32(doc_id as text) mod ``mod``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % mod

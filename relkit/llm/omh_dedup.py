@@ -24,7 +24,8 @@ tested, small buckets as they are and larger ones in blocks of at most BLOCK tex
 Lengths and counts of hashed words, two lower bounds of the edit distance, exclude
 pairs before any words are moved; all others are candidates, aligned in SHARES, so
 that a large family of variants becomes one class before most of its pairs come up.
-So any two texts of one bucket are in one class, aligned, or proved unlike.
+So any two texts of one bucket are in one class, aligned, or proved unlike.  The texts that share a bucket lie in buckets of their
+rid, so that rounds shuffle pairs, with the words or counts of one end, and never all texts.
 
 Verification: every candidate pair is aligned word by word in the band that the
 similarity allows (bit-parallel, a band a column); similarity is 1 - edit
@@ -52,7 +53,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relkit.llm.common import pick, ready, rows_of, with_row, written
+from relkit.llm.common import bucketed, dealt, pick, ready, rows_of, with_row, written
 
 K, ELL, SKETCHES, SIMILAR, EXACT = 3, 2, 64, 0.8, 30
 #: Rounds end when no more than this share of the pairs they align is linked.
@@ -304,7 +305,10 @@ def likely(pairs: DataFrame, table: DataFrame) -> DataFrame:
     def end(c: str) -> DataFrame:
         return table.select(F.col("rid").alias(c), F.col("n_words").alias(f"n{c}"), F.col("counts").alias(f"c{c}"))
 
-    return pairs.join(end("a"), "a").join(end("b"), "b").mapInArrow(run, "a bigint, b bigint, like boolean")
+    # the pairs are dealt out; the texts stay in their buckets, which are hashed, so that a
+    # hub's many pairs stream by
+    both = pairs.join(end("a").hint("shuffle_hash"), "a").join(end("b").hint("shuffle_hash"), "b")
+    return both.select("a", "b", "na", "nb", "ca", "cb").mapInArrow(run, "a bigint, b bigint, like boolean")
 
 
 def unlike(n: np.ndarray, counts: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
@@ -359,10 +363,10 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             f = f[["a", "b"]].assign(similarity=s)
             yield f[f.similarity > 0]
 
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    texts = texts.join(ends, "rep", "left_semi")
-    both = (pairs.join(texts.select(F.col("rep").alias("a"), F.col("words").alias("x")), "a")
-            .join(texts.select(F.col("rep").alias("b"), F.col("words").alias("y")), "b"))
+    # as in ``likely``: of the texts, only the first ones of the pairs are moved
+    first, second = (texts.select(F.col("rep").alias(c), F.col("words").alias(w)).hint("shuffle_hash")
+                     for c, w in (("a", "x"), ("b", "y")))
+    both = pairs.join(first, "a").join(second, "b")
     return both.select("a", "b", "x", "y").mapInPandas(run, "a bigint, b bigint, similarity double")
 
 
@@ -421,6 +425,9 @@ def extended(roots: DataFrame, pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def linked(keys: DataFrame, table: DataFrame) -> DataFrame:
     """(rep, root) of all texts that have a link, from the shared keys."""
+    # every round joins pairs with their texts: these lie in buckets of rid, so that only pairs are shuffled
+    some = dealt(table.select("rid", "n_words", "counts", "words"), "rid")
+    table = bucketed(some.join(keys.select(F.col("rep").alias("rid")).distinct(), "rid", "left_semi"), "rid", "omh-table")
     texts = table.select(F.col("rid").alias("rep"), "words")
     roots, turn, more = keys.select("rep", F.col("rep").alias("root")).limit(0), 0, True
     while True:

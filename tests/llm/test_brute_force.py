@@ -470,3 +470,24 @@ def test_shared_keys_are_those_of_several_texts(spark, rows):
     got = sorted((r.key, r.rep) for r in omh_dedup.shared_keys(t, reps).collect())
     assert got == sorted((k, rep) for k, held in plain.items() if len(held) > 1 for rep in held)
     assert len(of) == 60 and len(got) > 1000
+
+
+def test_texts_stay_in_their_buckets(spark):
+    """Whatever the sizes, a round deals out its pairs and never the table of the texts."""
+    from relkit.llm.common import bucketed, dealt
+    rows = [(i, 5, bytearray(omh_dedup.COUNTERS), np.arange(i % 3, i % 3 + 5, dtype="<u4").tobytes()) for i in range(9)]
+    made = spark.createDataFrame(rows, "rid bigint, n_words int, counts binary, words binary")
+    t = bucketed(dealt(made, "rid"), "rid", "omh-table")
+    pairs = spark.createDataFrame([(a, b) for a in range(9) for b in range(a + 1, 9)], "a bigint, b bigint")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        like = omh_dedup.likely(pairs, t)
+        links = omh_dedup.verified(pairs, t.selectExpr("rid rep", "words"))
+        for df in (like, links):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning(") == 2 and plan.count("Bucketed: true") == 2
+        assert like.where("like").count() == 36
+        assert sorted((r.a, r.b) for r in links.collect()) == [(a, b) for a in range(9) for b in range(a + 3, 9, 3)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
