@@ -322,16 +322,31 @@ def unlike(n: np.ndarray, counts: np.ndarray, i: int, others: np.ndarray) -> np.
     return out
 
 
+def marks(lists: pa.ListArray) -> np.ndarray:
+    """A row of bits for each list, one for each value that several lists hold."""
+    owner = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+    _, value, n = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    several = n[value] > 1
+    owner, at = owner[several], (np.cumsum(n > 1) - 1)[value[several]]
+    out = np.zeros((len(lists), (n > 1).sum() // 8 + 1), np.uint8)
+    np.bitwise_or.at(out, (owner, at >> 3), np.left_shift(1, at & 7).astype(np.uint8))
+    return out
+
+
 def rest(members: DataFrame, table: DataFrame) -> DataFrame:
-    """(a, b), a < b: the pairs of a larger bucket that are of two classes and not unlike."""
+    """(a, b), a < b: the pairs of a larger bucket that are of two classes and not unlike.
+    Variants share many buckets: a pair goes out of the one with the smallest key only, for
+    which each text brings its smaller keys along."""
     members = members.where(F.col("n") > SMALL)
+    every = members.groupBy("rep").agg(F.collect_list("key").alias("keys"))  # at most those of a text
     share = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep"), share).cast("int")
     m = members.select("key", "rep", "root", own.alias("own"), F.explode(F.sequence(F.lit(0), share - 1)).alias("j"))
     m = m.select("key", F.least("own", "j").alias("i"), F.greatest("own", "j").alias("j"), "own", "rep", "root")
-    m = m.join(table.select(F.col("rid").alias("rep"), "n_words", "counts"), "rep")
+    m = m.join(table.select(F.col("rid").alias("rep"), "n_words", "counts"), "rep").join(every, "rep")
+    m = m.withColumn("lower", F.filter("keys", lambda k: k < F.col("key")))
     cells = (m.groupBy("key", "i", "j").agg(
-        F.collect_list(F.struct("rep", "root", "own", "n_words", "counts")).alias("m"),
+        F.collect_list(F.struct("rep", "root", "own", "n_words", "counts", "lower")).alias("m"),
         F.min("root").alias("low"), F.max("root").alias("high")).where(F.col("low") != F.col("high")).select("m"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,14 +359,18 @@ def rest(members: DataFrame, table: DataFrame) -> DataFrame:
                 counts = np.frombuffer(b"".join(cell.field("counts").to_pylist()), np.uint8)
                 counts = counts.reshape(len(rep), COUNTERS).astype(np.int16)
                 two = own.min() != own.max()  # texts of one block meet in their own cell
+                held = None
                 for i in range(len(rep)):
                     later = np.flatnonzero((root[i + 1:] != root[i]) & ((own[i + 1:] != own[i]) | (not two))) + i + 1
                     later = later[~unlike(n, counts, i, later)]
+                    if len(later):
+                        held = marks(cell.field("lower")) if held is None else held
+                        later = later[~(held[later] & held[i]).any(axis=1)]
                     if len(later):
                         pair = np.minimum(rep[later], rep[i]), np.maximum(rep[later], rep[i])
                         yield pa.RecordBatch.from_arrays(list(map(pa.array, pair)), ["a", "b"])
 
-    return cells.mapInArrow(run, "a bigint, b bigint").distinct()
+    return cells.mapInArrow(run, "a bigint, b bigint")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:

@@ -451,6 +451,25 @@ def test_blocks_meet_one_another(spark, monkeypatch):
     assert {tuple(r) for r in omh_dedup.rest(members, near).collect()} == whole >= want
 
 
+def test_a_pair_of_many_buckets_goes_out_once(spark):
+    """The last pass makes a row for each pair, in blocks too, not one for each bucket that it shares."""
+    rng = random.Random(17)
+    held = {i: sorted(rng.sample(range(-6, 6), rng.randrange(1, 9))) for i in range(24)}
+    size = {k: sum(k in v for v in held.values()) for k in range(-6, 6)}
+    members = spark.createDataFrame([(k, size[k], i, i % 20) for i, v in held.items() for k in v],
+                                    "key bigint, n bigint, rep bigint, root bigint")
+    words = omh_dedup.counted(np.arange(9, dtype=np.uint64))
+    near = spark.createDataFrame([(i, 9, words) for i in held], "rid bigint, n_words int, counts binary")
+    want = [(i, j) for i in held for j in held if i < j and i % 20 != j % 20
+            and any(size[k] > omh_dedup.SMALL for k in set(held[i]) & set(held[j]))]
+    for block in (1024, 5):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(omh_dedup, "BLOCK", block)
+            assert sorted((r.a, r.b) for r in omh_dedup.rest(members, near).collect()) == want
+            made = omh_dedup.rest(members, near)
+            assert "Aggregate(keys=[a" not in made._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("rows", [3, 500])
 def test_shared_keys_are_those_of_several_texts(spark, rows):
     """Whatever the batches, also where a bucket goes on from one to the next."""
