@@ -169,9 +169,11 @@ def retrieve(index: StoredIndex, topics: DataFrame, models: Sequence[str] = MODE
     is ranked first: the k-th score among those is at most the k-th of all, so nothing
     below it is sorted.  That leaves about n / share and k * share of a topic's n
     documents to be sorted, least at the root of n / k, with n taken as a fifth of the
-    corpus (the topics' usual part; another changes the time only)."""
+    corpus (the topics' usual part) or, where it is more, as the documents of the topics'
+    commonest term (another n changes the time only)."""
     q = indexed_terms(index, query_terms(topics))
-    floors, share = None, math.isqrt(index.collection.first().n_docs // (5 * k))
+    n = max(index.collection.first().n_docs // 5, q.agg(F.max("df")).first()[0] or 0)
+    floors, share = None, math.isqrt(n // k)
     if share > 1:
         last = rank(score(index, q, models, share), models, k).where(F.col("rank") == k)
         # one row a model; a struct, as in a map all models are searched for every score

@@ -121,6 +121,24 @@ def test_stop_list_and_stored_index(spark, tmp_path):
     assert "dynamicpruning" in ranked._jdf.queryExecution().executedPlan().toString()
 
 
+def test_all_models_rank_by_terms_of_many_documents(spark, tmp_path):
+    """No term is left out where all models rank: "the" stands in every document, and
+    one of them shares no other term with the topic."""
+    from relkit.plans import q_retrieval as qr
+    docs = [(i, text) for i, text in enumerate(["the", "the apple the", "the pear", "the plum plum"])]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "The apple")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = qr.rank_all_models(spark, str(tmp_path)).collect()
+    assert len(rows) == len(rk.MODEL_NAMES) * len(docs)
+    score = {r.docno: r.score for r in rows if r.model == "BM25"}
+
+    def w(tf, dl, df):
+        return math.log2((4 - df + 0.5) / (df + 0.5)) * 2.2 * tf / (tf + 1.2 * (0.25 + 0.75 * dl / 2.25))
+    want = {"0": w(1, 1, 4), "1": w(2, 3, 4) + w(1, 3, 1), "2": w(1, 2, 4), "3": w(1, 3, 4)}
+    assert score == pytest.approx(want, abs=1e-6)
+    assert {r.docno: r.score for r in rows if r.model == "CoordinateMatch"} == {"0": 1, "1": 2, "2": 1, "3": 1}
+
+
 def test_fields_are_weighed(spark):
     docs = spark.createDataFrame([("a", "apple", "pear pear"), ("b", "pear", "apple"), ("c", None, "plum")],
                                  "docno string, title string, body string")
